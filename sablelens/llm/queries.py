@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sablelens.llm.common import table
 from sablelens.llm.exact_dedup import exact_duplicates
+from sablelens.llm.mixing import mix, taken_words
+from sablelens.llm.secrets import find_secrets
+from sablelens.llm.token_counts import token_counts
+from sablelens.llm.token_files import read_token_files, write_token_files
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix(table(spark, sf_dir, "documents")))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_token_files(table(spark, sf_dir, "documents"))
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_token_files": op3_token_files,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
