@@ -120,7 +120,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         depth += 1
     identity = saved(narrow.select("_key", "_id", "text_sha256").join(done, "_key"), "op6-identity")
     best = F.max(F.struct("_id", "_key")).alias("_best")
-    groups = identity.groupBy("n_blocks", "_name").agg(best, F.count("*").alias("group_size"))
+    # Written, so that the join deals both sides itself and a huge group of copies is split.
+    groups = saved(identity.groupBy("n_blocks", "_name").agg(best, F.count("*").alias("group_size")), "op6-groups")
     out = identity.join(groups, ["n_blocks", "_name"])
     return out.select(
         F.col("_id").cast(kind).alias("doc_id"),
