@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sablelens.llm.common import table
 from sablelens.llm.exact_dedup import exact_duplicates
+from sablelens.llm.language_id import identify
 from sablelens.llm.mixing import mix, taken_words
+from sablelens.llm.near_duplicates import near_classes, near_duplicates
 from sablelens.llm.secrets import find_secrets
 from sablelens.llm.token_counts import token_counts
 from sablelens.llm.token_files import read_token_files, write_token_files
@@ -26,10 +28,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("identity")
 
@@ -38,8 +48,10 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
