@@ -41,7 +41,9 @@ SEGMENT_BYTES = 4 << 20
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str) -> bytes:
     """A zstandard dictionary from the documents with the smallest hashes; empty where there is too little to train on."""
-    picked = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("_t"), F.xxhash64(F.lit("op3"), doc_id).alias("_h")).orderBy("_h", "_t").limit(SAMPLE_DOCS)
+    # The ids are picked first, so that a task hands on ids and no texts.
+    ids = docs.select(F.col(doc_id).alias("_i")).where("_i IS NOT NULL").orderBy(F.xxhash64(F.lit("op3"), "_i"), "_i").limit(SAMPLE_DOCS).distinct()
+    picked = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_i"), "left_semi").select(F.substring(F.col(text), 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS)
     texts = [r[0] or "" for r in picked.collect()]
     try:
         samples = vocabulary(tokenizer).ids(texts)
@@ -159,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
     dictionary = train_dictionary(docs, tokenizer, text, doc_id)
     parts = partitions(spark)
     ids = docs.select(F.col(doc_id).cast("long").alias("_id"))
-    cuts = ids.agg(F.percentile_approx("_id", [i / (4 * parts) for i in range(1, 4 * parts)], 100_000)).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("_id", [i / (4 * parts) for i in range(1, 4 * parts)], 10_000)).first()[0] or []
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     encoded = rows.mapInArrow(_encode(tokenizer, dictionary, list(cuts)), "bucket long, doc_id long, _tie long, n_tokens long, frame binary")
     dealt = encoded.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "_tie", "n_tokens")
