@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sablelens.llm.common import table
+from sablelens.llm.decontamination import contaminated
 from sablelens.llm.exact_dedup import exact_duplicates
+from sablelens.llm.html_text import main_text
 from sablelens.llm.language_id import identify
 from sablelens.llm.mixing import mix, taken_words
 from sablelens.llm.near_duplicates import near_classes, near_duplicates
+from sablelens.llm.pii import personal_data
 from sablelens.llm.secrets import find_secrets
 from sablelens.llm.token_counts import token_counts
 from sablelens.llm.token_files import read_token_files, write_token_files
@@ -36,6 +39,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +66,9 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_main_text": op7_main_text,
+    "op8_decontamination": op8_decontamination,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_language_id": op10_language_id,
 }
 
