@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping; narrow joins only."""
+"""Connected components of an edge table by contraction; narrow joins only."""
 
 from __future__ import annotations
 
@@ -11,19 +11,26 @@ from sablelens.llm.common import saved
 def components(edges: DataFrame, name: str) -> DataFrame:
     """edges: a, b (long, a <> b). Returns node, component (its smallest node); nodes without edges are absent.
 
-    Every round hands the least label over each edge and then jumps to the label's label, so that long chains
-    shrink geometrically. Rounds end when nothing changes. Every table is written before it is joined, which lets
-    Spark split the rows of a node that a third of the edges share.
+    In every round each node points to the least of itself and its neighbours, pointers are followed once more, and
+    the edges are carried over to where their ends point; loops and repeats among them go. What remains is at most
+    the edges between different trees of pointers, so that both many edges within a group and long chains shrink
+    geometrically. Every table is written before it is joined, which lets Spark split the rows of a node that
+    a third of the edges share.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = saved(both, f"{name}-edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{name}-labels")
+    left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
     while True:
-        heard = saved(both.join(labels, F.col("b") == F.col("node")).select("a", "component"), f"{name}-heard")
-        least = saved(heard.groupBy("a").agg(F.min("component").alias("m")), f"{name}-least")
-        fresh = saved(labels.join(least, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("c"), F.col("component").alias("was")), f"{name}-fresh")
-        up = fresh.select(F.col("node").alias("root"), F.col("c").alias("up"))
-        jumped = saved(fresh.join(up, F.col("c") == F.col("root")).select("node", F.least("c", "up").alias("component"), "was"), f"{name}-jumped")
-        labels = jumped.select("node", "component")
-        if not jumped.where("component <> was").limit(1).count():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        first = saved(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up")), f"{name}-first")
+        second = first.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        to = saved(first.join(second, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")), f"{name}-to")
+        if labels is None:
+            labels = to.select("node", F.col("up").alias("component"))
+        else:
+            step = to.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+            labels = saved(labels.join(step, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_u", "component").alias("component")), f"{name}-labels")
+        of_a = saved(left.join(to, F.col("a") == F.col("node")).select(F.col("up").alias("a"), "b"), f"{name}-half")
+        moved = of_a.join(to, F.col("b") == F.col("node")).select("a", F.col("up").alias("b")).where("a <> b")
+        left = saved(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-left")
+        if not left.limit(1).count():
             return labels
