@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     signed = saved(texts.mapInArrow(_signatures(trees, depth), "_key long, _class binary, n_words long, _labels binary"), "op4-signed")
     worded = signed.where("n_words > 0")
     classes = saved(worded.groupBy("_class").agg(F.min("_key").alias("node"), F.count("*").alias("weight")), "op4-classes")
-    nodes = saved(classes.join(signed.select("_key", "_labels"), F.col("node") == F.col("_key")).select("node", "weight", "_labels"), "op4-nodes")
+    nodes = saved(classes.hint("merge").join(signed.select("_key", "_labels"), F.col("node") == F.col("_key")).select("node", "weight", "_labels"), "op4-nodes")
     at = depth
     while True:
         found = _round(texts, nodes, trees, depth, at, similarity)
@@ -310,10 +310,10 @@ def _round(texts: DataFrame, nodes: DataFrame, trees: int, depth: int, at: int,
     heads = prefixes.groupBy("trie").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     heads = saved(heads, "op4-heads")
     # Stars around the least member of each trie node: candidates, not links.
-    stars = prefixes.join(heads, "trie").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = prefixes.join(heads.hint("merge"), "trie").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     clusters = components(saved(stars, "op4-stars"), "op4-clusters")
     sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("size")), "op4-sizes")
-    placed = saved(clusters.join(sizes, "component").join(nodes.select("node", "weight"), "node"), "op4-placed")
+    placed = saved(clusters.join(sizes.hint("merge"), "component").join(nodes.select("node", "weight").hint("merge"), "node"), "op4-placed")
     # Small clusters are one task of one block. Large ones are dealt to blocks by a hash, and every two blocks meet once.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.when(blocks == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
@@ -323,7 +323,7 @@ def _round(texts: DataFrame, nodes: DataFrame, trees: int, depth: int, at: int,
         "node", "weight", F.col("component").alias("cluster"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
     )
     packed = texts.mapInArrow(_packed, "_key long, _frame binary")
-    full = met.join(packed, F.col("node") == F.col("_key")).select("cluster", "i", "j", "side", "node", "weight", "_frame")
+    full = packed.join(met.hint("merge"), F.col("node") == F.col("_key")).select("cluster", "i", "j", "side", "node", "weight", "_frame")
     dealt = full.repartition(partitions(texts.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "node")
     return saved(dealt.mapInArrow(_verify(similarity, at, trees), "kind int, a long, b long, x double"), "op4-found")
 
