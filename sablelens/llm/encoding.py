@@ -17,7 +17,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Pieces whose ids a worker keeps; beyond that pieces are encoded each time that they come.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_200_000
 STABLE = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line feed; a text that holds any is cut by STABLE.
 RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -93,8 +93,9 @@ class Vocabulary:
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces; those that begin with their only space are put to the library in long runs and told apart by it."""
-        easy = [p for p in pieces if p[0] == " " and p.count(" ") == 1 and not p[-1].isspace()]
-        rest = [p for p in pieces if not (p[0] == " " and p.count(" ") == 1 and not p[-1].isspace())]
+        easy, rest = [], []
+        for p in pieces:
+            (easy if p[0] == " " and p.count(" ") == 1 and not p[-1].isspace() else rest).append(p)
         out: dict[str, bytes] = {}
         for at in range(0, len(easy), 4096):
             part = easy[at : at + 4096]

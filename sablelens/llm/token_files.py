@@ -55,6 +55,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str) ->
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        shared.precompute_compress(level=LEVEL)  # else every document would pay for loading it
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False, write_content_size=True)
 
 
