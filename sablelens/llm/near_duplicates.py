@@ -188,7 +188,7 @@ class Forest:
 
 
 def similarities(sets: list[np.ndarray], left: int) -> np.ndarray:
-    """Exact Jaccard similarities of the first `left` sets with all of them; sets are sorted distinct hashes."""
+    """Exact Jaccard similarities of the first `left` sets with all others; sets are sorted distinct hashes. A set's entry with itself means nothing."""
     names, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.cumsum(often > 1) - 1
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
