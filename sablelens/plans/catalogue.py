@@ -15,6 +15,8 @@ from sablelens.operators import mrxs as M
 from sablelens.operators import patches as A
 from sablelens.operators import report as G
 from sablelens.plans.slides import DUCK_SQL, SPARK_SQL, slides
+from sablelens.sources.tiff import decode_tags
+from sablelens.streaming.landing import sessions, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,3 +459,53 @@ def union_findings(spark, sf_dir):
 @query(f"SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS needed, CASE WHEN sum(length) > 1000000000 THEN 'error' WHEN sum(length) * 1.1 > 1000000000 THEN 'warning' ELSE 'ok' END AS space FROM {_RESULTS} r")
 def preflight_sizes(spark, sf_dir):
     return G.space_needed(result_rows(spark, sf_dir), 1_000_000_000)
+
+
+# Queries over bytes that are made in the query.
+
+
+def _small_tiffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A little-endian TIFF per slide: one directory with a width and a text of the label, put together as hexadecimal."""
+    s = slides(spark, sf_dir)
+    le = lambda n, digits: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), digits, "0"), F.lit("(..)"), F.lit(1))), "")
+    label = F.encode("code", "US-ASCII")
+    count = F.length(label).cast("long") + 1
+    # 8 bytes of header, 2 of count, 2 entries of 12, 4 of next: the text begins at 38.
+    text = F.concat(F.lit("49492A0008000000" + "0200" + "00010300" + "01000000" + "90010000" + "0E010200"), le(count, 8), F.lit("26000000" + "00000000"), F.hex(label), F.lit("00"))
+    return s.select("slide_id", "code", F.unhex(text).alias("content"))
+
+
+@query("SELECT CAST(slide_id AS STRING) AS path, tag_id, value FROM (SELECT slide_id, 256 AS tag_id, '400' AS value FROM {S} s UNION ALL SELECT slide_id, 270, code FROM {S} s)")
+def tiff_udtf_roundtrip(spark, sf_dir):
+    tags = decode_tags(_small_tiffs(spark, sf_dir), "slide_id", "content")
+    text = F.when(F.col("dtype") == 2, F.regexp_replace(F.decode("raw", "ISO-8859-1"), r"\x00+$", "")).otherwise(F.get("nums", F.lit(0)).cast("long").cast("string"))
+    return tags.select("path", "tag_id", text.alias("value"))
+
+
+@query()
+def uid_remap(spark, sf_dir):
+    s = slides(spark, sf_dir).select("slide_id", F.concat(F.lit("1.2.840."), "slide_id").alias("uid"), "name")
+    new = s.withColumn("new_uid", D.remapped_uid("uid", "name")).withColumn("again", D.remapped_uid("uid", "name"))
+    return new.select("slide_id", "new_uid", (F.col("new_uid").rlike(r"^2\.25\.[0-9]{1,59}$") & (F.col("new_uid") == F.col("again"))).alias("ok"))
+
+
+@query("SELECT slide_id, concat('ab', repeat('X', length(code)), right(name, 3)) AS patched FROM {S} s")
+def patch_apply(spark, sf_dir):
+    """Patches of bytes in a column: overlay, where files take the sink."""
+    s = slides(spark, sf_dir).select("slide_id", F.concat(F.lit("ab"), "code", F.right("name", F.lit(3))).cast("binary").alias("content"), F.length("code").alias("n"))
+    patched = F.overlay("content", F.repeat(F.lit("X"), F.col("n")).cast("binary"), F.lit(3), "n")
+    return s.select("slide_id", F.decode(patched, "US-ASCII").alias("patched"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf_dir):
+    return windows(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), "
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, n"
+)
+def events_sessions(spark, sf_dir):
+    made = sessions(table(spark, sf_dir, "events"))
+    return made.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")

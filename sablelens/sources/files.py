@@ -28,7 +28,13 @@ def list_files(spark: SparkSession, root: str, format_filter: str | None = None)
 
     format_filter is one of the formats; an unknown one filters nothing.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modification_time"))
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = source.select("path", "length", F.col("modificationTime").alias("modification_time"))
+    # Spark makes no rows of empty files, though it lists them; a slide that is empty must be reported all the same.
+    listed = spark.createDataFrame([(p,) for p in source.inputFiles()], "path string")
+    same = lambda c: F.regexp_replace(c, "^file:(//)?(?=/)", "")
+    empty = listed.join(found.select(same("path").alias("_p")), same("path") == F.col("_p"), "left_anti")
+    found = found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time")))
     # Paths come as URIs, with special characters escaped.
     plain = F.regexp_replace(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?(?=/)", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
