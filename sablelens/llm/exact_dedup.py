@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import prefix_sums, saved
+from sablelens.llm.common import bounded_batches, prefix_sums, saved
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -84,6 +84,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     once in every group). A null text counts as empty; null ids sort below all others. Empty tables give
     an empty result, and extra columns of docs are ignored.
     """
+    bounded_batches(docs.sparkSession)
     # Binary columns, so that texts cross to Python without decoding.
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text")).withColumn("_key", F.monotonically_increasing_id())
     kind = docs.schema[doc_id].dataType
