@@ -82,24 +82,25 @@ class Vocabulary:
         return [len(x) // self.width for x in self.ids(texts)]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """The text cut before every stable space; each piece but the first begins with its space."""
+    def _pieces(text: str) -> list:
+        """The text cut at every stable space: the first piece in a tuple, the others as strings without the space before them."""
         if not text:
             return []
         odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
         rare = RARE_ASCII if text.isascii() else RARE_SPACE
         found = STABLE.split(text) if odd or any(c in text for c in rare) else text.split(" ")
-        return [found[0], *[" " + x for x in found[1:]]]
+        found[0] = (found[0],)
+        return found
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces; those that begin with their only space are put to the library in long runs and told apart by it."""
+    def _encode(self, pieces: list) -> dict:
+        """Ids of pieces; those that hold no space are put to the library in long runs and told apart by the space before each."""
         easy, rest = [], []
         for p in pieces:
-            (easy if p[0] == " " and p.count(" ") == 1 and not p[-1].isspace() else rest).append(p)
-        out: dict[str, bytes] = {}
+            (easy if p.__class__ is str and " " not in p and not p[-1].isspace() else rest).append(p)
+        out = {}
         for at in range(0, len(easy), 4096):
             part = easy[at : at + 4096]
-            ids = np.array(self.plain(["".join(part)])[0], self.kind)
+            ids = np.array(self.plain([" " + " ".join(part)])[0], self.kind)
             begins = np.flatnonzero(self.starts[ids])
             if len(begins) != len(part) or begins[0]:
                 rest += part
@@ -111,7 +112,7 @@ class Vocabulary:
                 begin = end
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for p, ids in zip(part, self.plain(part), strict=True):
+            for p, ids in zip(part, self.plain([p[0] if p.__class__ is tuple else " " + p for p in part]), strict=True):
                 out[p] = np.array(ids, self.kind).tobytes()
         return out
 
