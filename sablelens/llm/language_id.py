@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import bounded_batches, saved
+from sablelens.llm.common import bounded_batches, saved, unit
 
 GRAMS, BITS = 4, 17
 #: Bounds of the labelled sample: rows in all, split evenly over the languages, and landmarks among them.
@@ -127,13 +127,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Learn from texts and labels of rows that are not held out; None where nothing is labelled."""
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    langs = known.select(F.col(lang).alias("lang")).distinct().count()
+    counts = saved(known.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n")), "op10-langs")
+    langs = counts.count()
     if not langs:
         return None
     each = max(2, sample_rows // langs)
-    # A top-k per language: Spark keeps k rows per language in each task before it deals any.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("op10"), "id"), "id")
-    picked = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    # The rows of least hash per language. A first cut by the hash leaves some twice as many as are wanted, so that no
+    # task ranks all rows of a frequent language.
+    hashed = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), unit(F.lit("op10"), doc_id).alias("_h"))
+    few = hashed.join(counts, F.col("lang") == F.col("_l")).where(F.col("_h") * F.col("_n") < 2 * each + 50)
+    order = Window.partitionBy("lang").orderBy("_h", "id")
+    picked = few.select("lang", "id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= each)
     picked = saved(picked, "op10-picked")
     rows = known.select(F.col(lang).alias("_l"), F.col(doc_id).alias("_i"), F.col(text).alias("text"))
     # Broadcast: at most sample_rows narrow rows (or two per language).
