@@ -64,6 +64,32 @@ def with_heads(files: DataFrame, size: int) -> DataFrame:
     return files.mapInPandas(_heads(size), ", ".join(f"`{c}` {t}" for c, t in files.dtypes) + ", head binary")
 
 
+def with_pieces(places: DataFrame, size: int) -> DataFrame:
+    """places (path, start and others) and `size` bytes of each file from start as `head`; null where it can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            heads = []
+            for path, start in zip(batch["path"], batch["start"], strict=True):
+                try:
+                    with open_file(path) as f:
+                        f.seek(int(start))
+                        heads.append(f.read(size))
+                except (OSError, ValueError, TypeError):
+                    heads.append(None)
+            yield batch.assign(head=heads)
+
+    return places.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in places.dtypes) + ", head binary")
+
+
+def data_files(spark: SparkSession, slides: DataFrame, root: str) -> DataFrame:
+    """path, file, name, length: all files in the folders named as the slides (path)."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    every = every.select(F.regexp_replace(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?(?=/)", "").alias("file"), "length")
+    every = every.withColumn("_dir", F.regexp_replace("file", "/[^/]*$", "")).withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
+    return slides.select("path", F.regexp_replace("path", r"\.[^./]*$", "").alias("_dir")).join(every, "_dir").select("path", "file", "name", "length")
+
+
 def is_tiff(head: Column) -> Column:
     """II or MM, then 42, or 43 with offsets of 8 bytes."""
     h = F.hex(F.substring(head, 1, 6))

@@ -35,7 +35,8 @@ def folder(tmp_path_factory):
         "y.scn": tiff([[text(270, '<?xml version="1.0"?><scn><barcode>B88</barcode><device user="me"/></scn>')]]),
         "bad.ndpi": b"garbage",
         "m.mrxs": b"MIRAX\0",
-        "m/Slidedat.ini": "﻿[GENERAL]\nSLIDE_NAME = AS-24-777777\nSLIDE_VERSION=2%\n[X]\nOPERATOR=bob\n".encode(),
+        "m/Slidedat.ini": "﻿[GENERAL]\nSLIDE_NAME = AS-24-777777\nSLIDE_VERSION=2%\n[X]\nOPERATOR=bob\n[HIERARCHICAL]\nNONHIER_COUNT=1\nNONHIER_0_COUNT=1\nNONHIER_0_VAL_0=ScanDataLayer_SlideLabel\nNONHIER_0_VAL_0_SECTION=L\n[L]\nFILE=k1\nOFFSET=4\nSIZE=9\n[DATAFILE]\nk1=Data0001.dat\n".encode(),
+        "m/Data0001.dat": b"headMRXSLABELtail",
         "w.dcm": dicom(
             element(8, 0x18, "UI", b"1.2.3.4"),
             element(9, 0x10, "LO", b"VENDOR"),
@@ -74,7 +75,7 @@ def test_scan(spark, folder):
     assert sorted(n for n, _ in found["p.tiff"]) == ["ImageDescription", "ImageDescription:Accession_AS", "regex:Accession_AS"]
     assert {n for n, _ in found["x.bif"]} == {"BIF:XMP:BarCode1", "BIF:XMP:OperatorID"}
     assert {n for n, _ in found["y.scn"]} == {"SCN:XML:barcode", "SCN:XML:user"}
-    assert {n for n, _ in found["m.mrxs"]} == {"MRXS:SLIDE_NAME", "MRXS:X:OPERATOR", "regex:Accession_AS"}
+    assert {n for n, _ in found["m.mrxs"]} == {"MRXS:SLIDE_NAME", "MRXS:X:OPERATOR", "regex:Accession_AS", "LabelImage"}
     assert {n for n, _ in found["w.dcm"]} == {"DICOM:PatientName", "DICOM:PatientID", "DICOM:PatientBirthDate", "DICOM:PatientAddress", "DICOM:SpecimenDescriptionSequence", "DICOM:SQ:PatientID", "DICOM:PrivateTags"}
 
 
@@ -91,6 +92,7 @@ def test_anonymize_then_verify(spark, folder, tmp_path):
     whole = b"".join(p.read_bytes() for p in out.rglob("*") if p.is_file())
     for secret in (b"123456", b"REF-001", b"555555", b"987654", b"777777", b"bob", b"Doe^J", b"Street", b"B77", b"B88", b"1.2.3.4", b"VENDOR", b"IMAGEDATA", b"N1", b"19700101"):
         assert secret not in whole, secret
+    assert (out / "m/Data0001.dat").read_bytes() == b"head" + b"\0" * 9 + b"tail"
     # The label's directory is out of the chain and the one behind it still in.
     tags = scan(spark, str(out))[0]
     assert tags.count() == 10
@@ -100,6 +102,19 @@ def test_anonymize_then_verify(spark, folder, tmp_path):
     assert again.where("payload IS NULL OR length(payload) > 0").count() == 0
 
 
+def test_in_place(spark, tmp_path):
+    """Files are replaced whole, companions of NDPI files go, and a second run changes nothing."""
+    (tmp_path / "a.ndpi").write_bytes(tiff([[text(65468, "AS-24-123456"), (256, 3, 1, 1)]]))
+    (tmp_path / "a.ndpa").write_text("<note/>")
+    (tmp_path / "b.ndpa").write_text("<other/>")
+    rows = anonymize(spark, str(tmp_path), str(tmp_path)).collect()
+    assert len(rows) == 1 and rows[0]["verified"] and rows[0]["cleared"] > 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.ndpi", "b.ndpa"] or sorted(p.name for p in tmp_path.glob("[ab]*")) == ["a.ndpi", "b.ndpa"]
+    first = (tmp_path / "a.ndpi").read_bytes()
+    assert b"123456" not in first
+    assert anonymize(spark, str(tmp_path), str(tmp_path)).first()["cleared"] == 0 and (tmp_path / "a.ndpi").read_bytes() == first
+
+
 def test_verify_and_rules(spark, folder):
     dirty = {r["path"].rsplit("/", 1)[1] for r in verified(spark, str(folder)).where("NOT clean").collect()}
     assert "clean.tif" not in dirty and "a.ndpi" in dirty
