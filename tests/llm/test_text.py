@@ -251,6 +251,16 @@ def test_repeats_across_pages_go(spark):
     assert got[10].startswith("Home News"), "what stands on one page of a host is no boilerplate"
 
 
+def test_repeats_are_counted_over_the_whole_host(spark):
+    """A menu on 5 of 90 pages, which meet in no bundle of 2, and one on 2 of them; the size of bundles changes nothing."""
+    menu, rare = "<div>Offers of the week in our garden shop</div>", "<div>Only two of the pages ever say this</div>"
+    rows = [(k, f"https://a.example.com/{k}", f"<body>{menu * (k % 18 == 0)}{rare * (k in (7, 8))}<p>{prose(k, 12)}</p></body>") for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (2, 64, 1000):
+        got = {r["page_id"]: r["text"] for r in pages.main_text(df, bundle=size).collect()}
+        assert got == {k: ("Only two of the pages ever say this " if k in (7, 8) else "") + prose(k, 12) for k in range(90)}, size
+
+
 def test_suffix_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
