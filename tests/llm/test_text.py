@@ -261,6 +261,15 @@ def test_repeats_are_counted_over_the_whole_host(spark):
         assert got == {k: ("Only two of the pages ever say this " if k in (7, 8) else "") + prose(k, 12) for k in range(90)}, size
 
 
+def test_words_beside_an_article_are_evidence(spark):
+    """Chrome that stands on ten pages with an article and on two without goes from those two."""
+    chrome = "<div>Home News Sport Weather Contact About us today</div>"
+    page = "<body>" + chrome + "<{tag}><p>{text}</p></{tag}></body>"
+    rows = [(k, f"https://a.example.com/{k}", page.format(tag="article" if k < 10 else "div", text=prose(k, 12))) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: prose(k, 12) for k in range(12)}
+
+
 def test_suffix_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
