@@ -270,6 +270,19 @@ def test_words_beside_an_article_are_evidence(spark):
     assert got == {k: prose(k, 12) for k in range(12)}
 
 
+@pytest.mark.parametrize("copies", [3, 100])
+def test_copies_keep_their_text(spark, copies):
+    """Repeated rows and mirrors of a page without an article keep it, and lose what also stands on other pages."""
+    chrome = "<div>Home News Sport Weather Contact About us today</div>"
+    rows = [(1, "https://a.example.com/1", f"<p>{prose(1, 30)}</p>")] * copies
+    rows += [(2, f"https://b.example.com/{k}", f"<body>{chrome}<p>{prose(2, 30)}</p></body>") for k in range(copies)]
+    rows += [(3 + k, f"https://b.example.com/other/{k}", f"<body>{chrome}<p>{prose(3 + k, 30)}</p></body>") for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (2, 64):
+        got = pages.main_text(df, bundle=size).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == sorted((i, prose(i, 30)) for i, _, _ in rows), size
+
+
 def test_suffix_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
