@@ -42,8 +42,10 @@ DATES = (
 )
 #: Dates that mean "removed".
 DATE_SENTINELS = ("1900:01:01", "0000:00:00")
-#: Fixed value: only so many leading bytes of a file are searched by rules.
+#: Fixed value: only so many leading bytes of a TIFF-based file are searched by rules.
 HEAD_BYTES = 1_000_000
+#: As many bytes as a binary value can hold.
+WHOLE = (1 << 31) - 1
 
 
 @dataclass(frozen=True)

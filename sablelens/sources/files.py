@@ -44,7 +44,7 @@ def list_files(spark: SparkSession, root: str, format_filter: str | None = None)
     return out.where(F.col("ext").isin(*wanted)).select("path", "dir", "name", "stem", "ext", "length", "modification_time")
 
 
-def _heads(size: int):
+def _heads(size: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             heads = []
@@ -59,6 +59,17 @@ def _heads(size: int):
     return run
 
 
+def with_contents(files: DataFrame) -> DataFrame:
+    """files and all their bytes as `head`, null where a file can't be read; one file travels at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = _heads(None)
+        for batch in batches:
+            yield from read(batch.iloc[k : k + 1] for k in range(len(batch)))
+
+    return files.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in files.dtypes) + ", head binary")
+
+
 def with_heads(files: DataFrame, size: int) -> DataFrame:
     """files and their first bytes as `head`, null where a file can't be read."""
     return files.mapInPandas(_heads(size), ", ".join(f"`{c}` {t}" for c, t in files.dtypes) + ", head binary")

@@ -102,6 +102,21 @@ def test_anonymize_then_verify(spark, folder, tmp_path):
     assert again.where("payload IS NULL OR length(payload) > 0").count() == 0
 
 
+def test_mrxs_is_searched_whole(spark, tmp_path):
+    """Identifiers behind the first million bytes of the index file and of the INI file."""
+    d, out = tmp_path / "in", tmp_path / "out"
+    (d / "m").mkdir(parents=True)
+    (d / "m.mrxs").write_bytes(b"MIRAX\0" + b"z" * 999_990 + b"AS-24-111111\0" + b"z" * 200_000 + b"\0AS-24-222222\0end")
+    (d / "m/Slidedat.ini").write_text(f"[GENERAL]\nFILLER={'z' * 1_100_000}\nNOTE=AS-24-333333\n")
+    found = {r["value_preview"] for r in scan(spark, str(d))[1].where("tag_name LIKE 'regex:%'").collect()}
+    assert {v[:12] for v in found} == {"AS-24-111111", "AS-24-222222", "AS-24-333333"}
+    assert verified(spark, str(d)).where("clean").count() == 0
+    assert [r["verified"] for r in anonymize(spark, str(d), str(out)).collect()] == [True]
+    old, new = (d / "m.mrxs").read_bytes(), (out / "m.mrxs").read_bytes()
+    assert new == old.replace(b"AS-24-111111", b"X" * 12).replace(b"AS-24-222222", b"X" * 12)
+    assert b"333333" not in (out / "m/Slidedat.ini").read_bytes()
+
+
 def test_in_place(spark, tmp_path):
     """Files are replaced whole, and companions of NDPI files go."""
     (tmp_path / "a.ndpi").write_bytes(tiff([[text(65468, "AS-24-123456"), (256, 3, 1, 1)]]))
