@@ -16,6 +16,8 @@ from sablelens.functions.fields import dicom_done, dicom_replacement
 DEEPEST = 6
 #: Fixed value: root of generated identifiers, the arc for UUID-derived ones.
 UID_ROOT = "2.25."
+#: The elements that say that a file was anonymised.
+MARKS = (("0012,0062", "CS", "YES"), ("0012,0063", "LO", "Identifiers removed or replaced"))
 
 
 def blank_findings(elements: DataFrame) -> DataFrame:
@@ -35,6 +37,10 @@ def private_counts(elements: DataFrame, keys: list[str]) -> DataFrame:
     return elements.where("private AND depth = 0").groupBy(*keys).agg(F.count("*").alias("private_tags"))
 
 
+def nested_private_counts(elements: DataFrame, keys: list[str]) -> DataFrame:
+    return elements.where("private AND depth > 0").groupBy(*keys).agg(F.count("*").alias("private_tags"))
+
+
 @F.pandas_udf(StringType())
 def remapped_uid(uid: pd.Series, path: pd.Series) -> pd.Series:
     """The same identifier in the same file always becomes the same other one: 128 bits of a hash, which no JVM number type holds."""
@@ -49,10 +55,9 @@ def anonymised(elements: DataFrame, path: str) -> DataFrame:
     uid = F.col("tag").isin(*T.DICOM_UIDS) & (F.col("depth") == 0) & ~F.col("value").startswith(UID_ROOT)
     value = F.when(blank & ~dicom_done(F.col("vr"), F.col("value")), dicom_replacement(F.col("vr"))).when(uid, remapped_uid("value", path)).otherwise(F.col("value"))
     marked = kept.withColumn("value", value)
-    marks = [("0012,0062", "CS", "YES"), ("0012,0063", "LO", "Identifiers removed or replaced")]
     files = elements.select(path).distinct()
     added = None
-    for tag, vr, text in marks:
+    for tag, vr, text in MARKS:
         row = files.select(path, F.lit(0).alias("depth"), F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), F.lit(False).alias("private"), F.lit(text).alias("value"))
         added = row if added is None else added.unionByName(row)
-    return marked.where(~F.col("tag").isin(*(t for t, _, _ in marks))).unionByName(added, allowMissingColumns=True)
+    return marked.where(~F.col("tag").isin(*(t for t, _, _ in MARKS))).unionByName(added, allowMissingColumns=True)

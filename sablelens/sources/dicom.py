@@ -33,6 +33,8 @@ class Reader:
         if raw[128:132] != b"DICM":
             raise ValueError("not a DICOM file")
         self.raw, self.rows, self.implicit = raw, [], False
+        #: Sequences and items of a defined length: where its field is, where the content begins and ends.
+        self.sized: list[tuple[int, int, int]] = []
 
     def parse(self) -> list[tuple]:
         at = 132
@@ -67,6 +69,8 @@ class Reader:
         place = len(self.rows)
         if vr == "SQ" or length == UNDEFINED:
             self.rows.append(None)
+            if length != UNDEFINED:
+                self.sized.append((at - 4, at, min(at + length, len(self.raw))))
             end, items = self._sequence(at, len(self.raw) if length == UNDEFINED else min(at + length, len(self.raw)), depth, f"{path}{tag}")
             row = (depth, path, tag, vr, bool(group % 2), None, items, start, at, end)
             self.rows[place] = row
@@ -89,6 +93,8 @@ class Reader:
             if tag != ITEM:
                 break
             inner = stop if length == UNDEFINED else min(at + length, stop)
+            if length != UNDEFINED:
+                self.sized.append((at - 4, at, inner))
             if depth + 1 < MOST_DEPTH:
                 at = max(self._dataset(at, inner, depth + 1, f"{path}[{items}]/"), at if length == UNDEFINED else inner)
             else:
@@ -104,6 +110,37 @@ def element_rows(path: str, raw: bytes) -> list[tuple]:
         return [(path, *[None] * (len(NAMES) - 2), str(why))]
 
 
+def nested_private(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """(offset, length, payload): what drops the private elements in sequence items and corrects the lengths of all around them."""
+    reader = Reader(raw)
+    gone: list[tuple[int, int]] = []
+    for start, end in sorted((r[7], r[9]) for r in reader.parse() if r[0] > 0 and r[4]):
+        if not gone or start >= gone[-1][1]:  # one inside of another goes with it
+            gone.append((start, end))
+    out = [(a, b - a, b"") for a, b in gone]
+    for field, start, end in reader.sized:
+        less = sum(b - a for a, b in gone if start <= a and b <= end)
+        if less:
+            out.append((field, 4, struct.pack("<I", end - start - less)))
+    return out
+
+
+def read_nested_private(files: DataFrame) -> DataFrame:
+    """The rows of nested_private by path; none of a file that can't be read, which read_elements reports."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with open_file(path) as f:
+                        rows = [(path, *r) for r in nested_private(f.read())]
+                except (OSError, ValueError, struct.error):
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "offset", "length", "payload"]).astype(object)
+
+    return files.select("path").mapInPandas(run, "path string, offset long, length long, payload binary")
+
+
 def read_elements(files: DataFrame) -> DataFrame:
     """A row per element, nested ones with their depth and the path to their item; see ELEMENTS."""
 

@@ -11,6 +11,7 @@ from sablelens.functions.rules import RuleSet
 from sablelens.operators.anonymize import anonymize, verified
 from sablelens.operators.info import info
 from sablelens.operators.scan import scan
+from sablelens.sources.dicom import element_rows
 from tests.builders import dicom, element, item, text, tiff
 
 
@@ -117,6 +118,30 @@ def test_mrxs_is_searched_whole(spark, tmp_path):
     assert b"333333" not in (out / "m/Slidedat.ini").read_bytes()
 
 
+def test_dicom_private_elements_in_items_and_marks(spark, tmp_path):
+    """Private elements go at every depth, the lengths around them shrink, and the file says that it was anonymised."""
+    d, out = tmp_path / "in", tmp_path / "out"
+    d.mkdir()
+    inner = item(element(8, 0x100, "SH", b"CODE") + element(0x11, 0x10, "LO", b"DEEPSECRET"))
+    outer = item(element(8, 0x104, "LO", b"meaning") + element(9, 0x10, "LO", b"NESTEDSECRET") + element(0x48, 0x105, "SQ", inner) + element(0x41, 0x10, "SQ", item(element(0x43, 1, "LO", b"PRIVATEITEM"))))
+    rest = (element(0x28, 0x10, "US", b"\0\2"), element(0x48, 0x105, "SQ", outer), element(0x48, 0x106, "LO", b"after"))
+    (d / "n.dcm").write_bytes(dicom(*rest))
+    # The element behind the marks is deleted, and one mark is there already.
+    (d / "p.dcm").write_bytes(dicom(element(0x10, 0x20, "LO", b"ID7"), element(0x12, 0x62, "CS", b"NO"), element(0x13, 0x10, "LO", b"PRIV"), *rest))
+    (d / "clean.dcm").write_bytes(dicom(rest[0], rest[2]))
+    dirty = {r["path"].rsplit("/", 1)[1] for r in verified(spark, str(d)).where("NOT clean").collect()}
+    assert dirty == {"n.dcm", "p.dcm"}
+    assert all(r["verified"] for r in anonymize(spark, str(d), str(out)).collect())
+    assert (out / "clean.dcm").read_bytes() == (d / "clean.dcm").read_bytes()
+    marks = [("0012,0062", "YES"), ("0012,0063", "Identifiers removed or replaced")]
+    kept = [("0028,0010", None), ("0048,0105", None), ("0008,0104", "meaning"), ("0048,0105", None), ("0008,0100", "CODE"), ("0048,0106", "after")]
+    for name, first in (("n.dcm", []), ("p.dcm", [("0010,0020", "")])):
+        rows = element_rows(name, (out / name).read_bytes())
+        assert [(r[3], r[6]) for r in rows][1:] == first + marks + kept, name
+        assert b"SECRET" not in (out / name).read_bytes() and b"PRIV" not in (out / name).read_bytes()
+        assert rows[-1][10] == len((out / name).read_bytes())
+
+
 def test_in_place(spark, tmp_path):
     """Files are replaced whole, and companions of NDPI files go."""
     (tmp_path / "a.ndpi").write_bytes(tiff([[text(65468, "AS-24-123456"), (256, 3, 1, 1)]]))
