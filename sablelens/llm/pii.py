@@ -27,7 +27,13 @@ EMAIL = r"(?<![A-Za-z0-9._%+\p{L}-])[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/]|[.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
-PHONE = r"(?<![\d.-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?![\d]|[.-]\d)"
+TEN_DIGITS = r"(?<![\d.-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?![\d]|[.-]\d)"
+#: A plus sign and 8 to 15 digits; five pairs; or an area code of 3 to 5 digits and two groups, these with the 0 of national calls.
+ABROAD = r"(?<![\w.+-])\+\d(?:[\x20.-]?(?:\(0\)\x20?)?\d){7,14}(?![\d]|[.-]\d)"
+NATIONAL = r"(?<![\d.-])0\d(?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4}|\d{1,3}[\x20-]\d{3,4}[\x20-]\d{3,4})(?![\d]|[.-]\d)"
+PHONE = f"(?:{TEN_DIGITS})|(?:{ABROAD})|(?:{NATIONAL})"
+#: Country codes, those of one and two digits first.
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 NUMBER = r"(?<![\d.,-])\d(?:[\x20-]?\d){12,18}(?![\d]|[.,-]\d)"
 KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "number": NUMBER}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -35,6 +41,8 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 SIGN = r"@|\d[^\p{L}]{4}"
 #: The Gregorian calendar repeats after 146,097 = 189 * 773 days; the cycle used begins here.
 CYCLE_START, CYCLE_A, CYCLE_B = "1800-01-01", 189, 773
+#: Days 13 and later of its months: 146,097 - 4800 * 12 = 9 * 9833.
+LATE_A, LATE_B = 9, 9833
 DATE_FORMATS = {"^....-": "yyyy-MM-dd", "/": "MM/dd/yyyy", r"\.": "dd.MM.yyyy"}
 
 
@@ -109,15 +117,17 @@ def _number(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The ten digits behind the country code."""
+    """The digits behind the country code or the 0 of national calls: the last ten where they are grouped by 3, 3 and 4."""
     digits = _digits(m)
-    country = F.length(digits) - 10
-    new = F.concat(F.substring(digits, F.lit(1), country), _permuted(F.substring(digits, country + 1, F.lit(10)), 10, "phone", key))
+    ten = m.rlike(rf"\A(?:{TEN_DIGITS})\z")
+    abroad = F.length(F.regexp_extract(digits, COUNTRY, 1))
+    country = F.when(ten, F.length(digits) - 10).when(m.startswith("+"), abroad).otherwise(1)
+    new = F.concat(F.substring(digits, F.lit(1), country), _permuted(F.substring(digits, country + 1, F.length(digits) - country), 10, "phone", key))
     return _bound(new, lambda x: _put_back(m, x, "[0-9]"))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    """Areas 001-899 but 666, groups 01-99 and serials 0001-9999 are valid; others are left alone."""
+    """Areas 001-899 but 666, groups 01-99 and serials 0001-9999 are valid."""
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     a = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
@@ -127,7 +137,7 @@ def _ssn(m: Column, key: str) -> Column:
         parts = (F.lpad((zone + F.when(zone >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
         return F.concat_ws("-", *parts)
 
-    return F.when(valid, _bound(feistel(a, serial - 1, F.lit(898 * 99), F.lit(9999), F.lit("ssn"), key), back)).otherwise(m)
+    return F.when(valid, _bound(feistel(a, serial - 1, F.lit(898 * 99), F.lit(9999), F.lit("ssn"), key), back))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -135,17 +145,36 @@ def _ip(m: Column, key: str) -> Column:
     octet = lambda k: parts[k].cast("int")
     valid = F.forall(parts, lambda p: p.cast("int") <= 255)
     moved = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536), F.lit("ip"), key)
-    return F.when(valid, _bound(moved, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string")))).otherwise(m)
+    return F.when(valid, _bound(moved, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string"))))
 
 
 def _date(m: Column, key: str) -> Column:
-    """Dates of the 400-year cycle; impossible ones and others are left alone."""
-    out = m
+    """Dates of the 400-year cycle. With slashes the month comes first, or the day where that is impossible."""
+    out = F.lit(None).cast("string")
     for sign, form in DATE_FORMATS.items():
         day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(CYCLE_START).cast("date"))
         moved = feistel(F.floor(day / CYCLE_B), day % CYCLE_B, F.lit(CYCLE_A), F.lit(CYCLE_B), F.lit("date"), key)
-        out = F.when(m.rlike(sign), F.when(day.between(0, CYCLE_A * CYCLE_B - 1), _as_date(moved, form)).otherwise(m)).otherwise(out)
-    return out
+        out = F.when(m.rlike(sign), F.when(day.between(0, CYCLE_A * CYCLE_B - 1), _as_date(moved, form))).otherwise(out)
+    return F.when(m.rlike("^(1[3-9]|[23].)/"), _day_first(m, key)).otherwise(out)
+
+
+def _day_first(m: Column, key: str) -> Column:
+    """dd/MM/yyyy from day 13 on, among its like, so that no pseudonym can be read with the month first."""
+    start = F.lit(CYCLE_START).cast("date")
+    day = F.to_date(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")))
+
+    def moved(d: Column) -> Column:
+        # Every month lacks its first twelve days.
+        place = F.datediff(d, start) - 12 * ((F.year(d) - 1800) * 12 + F.month(d))
+        return _bound(feistel(F.floor(place / LATE_B), place % LATE_B, F.lit(LATE_A), F.lit(LATE_B), F.lit("late"), key), lambda p: back((p["a"] * LATE_B + p["b"]).cast("int")))
+
+    def back(place: Column) -> Column:
+        near = F.floor(place * 4800 / (LATE_A * LATE_B)).cast("int")
+        months = F.sequence(F.greatest(near - 3, F.lit(0)), near + 3)
+        begun = F.filter(months, lambda k: F.datediff(F.add_months(start, k), start) - 12 * k <= place)
+        return F.date_format(F.date_add(start, place + 12 * (F.array_max(begun) + 1)), "dd/MM/yyyy")
+
+    return F.when(F.year(day).between(1800, 2199), _bound(day, moved))
 
 
 def _as_date(parts: Column, form: str) -> Column:
@@ -161,16 +190,17 @@ def _email(m: Column, key: str) -> Column:
     return F.when(F.length(symbols) == 0, m).otherwise(F.concat(_bound(new, lambda x: _put_back(local, x, "[a-zA-Z0-9]")), F.lit("@"), domain))
 
 
+#: A value to its pseudonym, null where the value isn't valid.
 MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
 
 
 def _replaced(m: Column, key: str) -> Column:
-    """kind, value and pseudonym of a match; a null kind where it isn't valid."""
-    kind, new = F.lit(None).cast("string"), m
+    """kind, value and pseudonym of a match, and whether it is valid; its own pseudonym where it isn't."""
+    kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern in reversed(KINDS.items()):
         whole = m.rlike(rf"\A(?:{pattern})\z")
         kind, new = F.when(whole, F.lit(name)).otherwise(kind), F.when(whole, MAKERS[name](m, key)).otherwise(new)
-    return F.struct(kind.alias("kind"), m.alias("value"), new.alias("pseudonym"))
+    return _bound(new, lambda n: F.struct(kind.alias("kind"), m.alias("value"), F.coalesce(n, m).alias("pseudonym"), n.isNotNull().alias("valid")))
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -194,8 +224,8 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
         return F.struct(end.alias("at"), F.concat(s["got"], F.array(new)).alias("got"))
 
     listed = F.aggregate(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("got")), step, lambda s: s["got"])
-    # A match that its maker left alone was not valid.
-    values = F.zip_with(listed, "_m", lambda s, m: F.when(m["value"] != m["pseudonym"], s))
+    # A valid value counts even where its pseudonym happens to be the same.
+    values = F.zip_with(listed, "_m", lambda s, m: F.when(m["valid"], s))
     pii = F.when(F.size("_m") > 0, F.filter(values, lambda s: s.isNotNull())).otherwise(F.array().cast(spans))
     rest = [c for c in docs.columns if c not in (text, "pii")]
     return found.select(*rest, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)).alias(text), pii.alias("pii"))

@@ -81,6 +81,34 @@ def test_pseudonyms(make, odd):
     assert personal_data(make([])).count() == 0
 
 
+def test_more_dates_and_telephone_numbers(make):
+    old = "25/12/2020, 12/25/2020, 31/02/2020, +44 20 7946 0958, 01 23 45 67 89, 0207 946 0958".split(", ")
+    got = {r["doc_id"]: r for r in personal_data(make([(1, ", ".join(old)), (2, "Call +44 20 7946 0958.")])).collect()}
+    assert got[1]["n_date"] == 2 and got[1]["n_phone"] == 3 and got[1]["n_found"] == 5
+    new = got[1]["text"].split(", ")
+    assert new[2] == old[2] and new[0] != old[0] and int(new[0][:2]) > 12 and int(new[0][3:5]) <= 12 and int(new[1][:2]) <= 12
+    assert new[3].startswith("+44 ") and new[4][0] == new[5][0] == "0" and all(a != b for a, b in zip(new[3:], old[3:], strict=True))
+    assert [re.sub("[0-9]", "0", w) for w in new] == [re.sub("[0-9]", "0", w) for w in old] and got[2]["text"] == f"Call {new[3]}."
+
+
+def test_day_first_dates_are_a_permutation(spark):
+    """All dates of 400 years from day 13 on: no two share a pseudonym, and each is one of them."""
+    from pyspark.sql import functions as F
+
+    from sablelens.llm.pii import _day_first
+
+    days = spark.range(146097).select(F.expr("date_add(DATE'1800-01-01', CAST(id AS INT))").alias("d")).where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("m"))
+    both = days.select("m", _day_first(F.col("m"), "k").alias("p")).toPandas()
+    assert len(both) == 88497 and set(both["p"]) == set(both["m"])
+
+
+def test_a_value_that_is_its_own_pseudonym_is_reported(make, monkeypatch):
+    from sablelens.llm import pii
+
+    monkeypatch.setitem(pii.MAKERS, "ip", lambda m, key: m)
+    assert personal_data(make([(1, "at 10.0.0.1 now")])).first()["n_ip"] == 1
+
+
 def test_pseudonyms_are_a_permutation(spark):
     """All four-digit halves of a domain: no two values share a pseudonym."""
     from pyspark.sql import functions as F
