@@ -2,9 +2,8 @@
 
 A text may be cut at a stable boundary: before a single space between two characters that are not white space.
 For byte-level BPE with the usual splitting pattern no match crosses such a place, and none looks back over it, so
-that the ids left and right of it do not depend on each other; for sentencepiece it holds where no piece of the
-vocabulary has its space mark after another character, which is checked. Pieces between stable boundaries repeat a
-great deal; each worker keeps the ids of those seen, in bounded memory, and asks the library for the others.
+that the ids left and right of it do not depend on each other. For sentencepiece (.model) no such place is known
+here, and texts are encoded whole. Pieces between stable boundaries repeat a great deal; each worker keeps the ids of those seen, in bounded memory, and asks the library for the others.
 """
 
 from __future__ import annotations

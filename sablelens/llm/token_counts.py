@@ -4,7 +4,8 @@ A document of up to CHUNK code points is encoded whole. A longer one is encoded
 sides of an overlap are compared with their offsets, and the counts are spliced at a place in it that both
 encodings have as a token boundary and that is proven stable (see encoding: a space between two characters that
 are not white space), so that the sum is the library's count of the whole text. Where an overlap has no such place
-it is widened, at last to the end of the text.
+it is widened, at last to the end of the text. With a vocabulary that has no stable places (any sentencepiece .model,
+see encoding) a text of any length is encoded whole, in memory that grows with it.
 """
 
 from __future__ import annotations
