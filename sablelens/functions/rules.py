@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablelens.functions.spans import match_spans
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -85,21 +87,15 @@ def matches(text: Column, rules: tuple[Rule, ...], unicode: bool = True, to_nul:
 
 def _one(text: Column, number: int, rule: Rule, unicode: bool, to_nul: bool) -> Column:
     pattern = f"(?U){rule.pattern}" if unicode else rule.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        size = F.length(p["value"])
-        length = size
+    def row(m: Column) -> Column:
+        length = m["end"] - m["start"]
         if to_nul:
-            nul = F.instr(F.substring(text, start + 1, F.length(text)), "\0")
-            length = F.when(nul > 0, nul - 1).otherwise(size)
-        row = F.struct(F.lit(number).alias("ord"), F.lit(rule.label).alias("label"), start.alias("start"), length.alias("length"), F.substring(text, start + 1, length).alias("value"))
-        return F.struct((start + size).alias("at"), F.concat(s["got"], F.array(row)).alias("got"))
+            nul = F.call_function("locate", F.lit("\0"), text, m["start"] + 1)
+            length = F.when(nul > 0, nul - 1 - m["start"]).otherwise(length)
+        return F.struct(F.lit(number).alias("ord"), F.lit(rule.label).alias("label"), m["start"].alias("start"), length.alias("length"), F.substring(text, m["start"] + 1, length).alias("value"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("got"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["got"])).otherwise(F.array().cast(MATCHES))
+    return F.transform(match_spans(text, pattern), row)
 
 
 def scan_strings(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = IDENTIFIERS) -> DataFrame:
