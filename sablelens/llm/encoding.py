@@ -2,8 +2,11 @@
 
 A text may be cut at a stable boundary: before a single space between two characters that are not white space.
 For byte-level BPE with the usual splitting pattern no match crosses such a place, and none looks back over it, so
-that the ids left and right of it do not depend on each other. For sentencepiece (.model) no such place is known
-here, and texts are encoded whole. Pieces between stable boundaries repeat a great deal; each worker keeps the ids of those seen, in bounded memory, and asks the library for the others.
+that the ids left and right of it do not depend on each other. For a sentencepiece .model it holds where the model is BPE,
+doesn't normalise, and has no piece with a space sign behind another character: merges then never cross the place, and those
+on one side don't depend on the other's. All of this is checked when a vocabulary is opened; for one that fails, no place
+is known to be stable. Pieces between stable boundaries repeat a great deal; each worker keeps the ids of those
+seen, in bounded memory, and asks the library for the others.
 """
 
 from __future__ import annotations
@@ -15,14 +18,49 @@ from itertools import chain, islice
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps; beyond that pieces are encoded each time that they come.
-KEPT_PIECES = 1_200_000
+#: Pieces whose ids a worker keeps, and the code points of the longest; others are encoded each time that they come.
+KEPT_PIECES, KEPT_LENGTH = 500_000, 64
 STABLE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: sentencepiece's sign for a space, which means the same in a text.
+SPACE_SIGN = "\u2581"
+STABLE_MODEL = re.compile(rf"(?<=[^\s{SPACE_SIGN}]) (?=[^\s{SPACE_SIGN}])")
 #: White space other than space and line feed; a text that holds any is cut by STABLE.
 RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 RARE_ASCII = [c for c in RARE_SPACE if c.isascii()]
 
 
+def _fields(raw: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer's message by number: integers, and bytes where they have a length."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out, shift, at = out | (raw[at] & 127) << shift, shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return out, at
+
+    found: dict[int, list] = {}
+    at = 0
+    while at < len(raw):
+        key, at = number(at)
+        if key & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = raw[at : at + size], at + size
+        found.setdefault(key >> 3, []).append(value)
+    return found
+
+
+def _model_is_stable(piece) -> bool:
+    """Whether STABLE_MODEL holds for a sentencepiece model; see above."""
+    # Numbers of the fields of a model's settings.
+    spec = _fields(piece.serialized_model_proto())
+    trainer, normaliser = (_fields(spec.get(k, [b""])[-1]) for k in (2, 3))
+    plain = trainer.get(3) == [2] and not trainer.get(24, [0])[-1] and not any(normaliser.get(2, [])) and normaliser.get(5, [1])[-1]
+    return bool(plain) and not any(SPACE_SIGN in piece.id_to_piece(i).lstrip(SPACE_SIGN) for i in range(piece.vocab_size()))
+
+
 class Vocabulary:
     """ids(texts): per text the bytes of its ids as little-endian integers of `width` bytes; counts(texts): how many."""
 
@@ -34,6 +72,7 @@ class Vocabulary:
 
             self.piece = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size, self.starts, self.cuttable = self.piece.vocab_size(), None, False
+            self.stable = STABLE_MODEL if _model_is_stable(self.piece) else None
         else:
             from tokenizers import Tokenizer
 
@@ -48,6 +87,7 @@ class Vocabulary:
             spec = json.loads(self.library.to_str())
             before = spec.get("pre_tokenizer") or {}
             self.cuttable = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", False) and not before.get("add_prefix_space", True)
+            self.stable = STABLE if self.cuttable else None
         self.width = 2 if self.size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
 
@@ -60,7 +100,7 @@ class Vocabulary:
     def offsets(self, text: str) -> np.ndarray:
         """Start offsets of the tokens of a text, in code points."""
         if self.piece is not None:
-            return np.array([p.begin for p in self.piece.encode(text, out_type="immutable_proto").pieces], dtype=np.int64)
+            return np.array([a for a, _ in self.piece.encode(text, return_type="offset_mapping")["offsets"]], dtype=np.int64)
         return np.array([a for a, _ in self.library.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -73,6 +113,8 @@ class Vocabulary:
         memo.update(fresh)
         get = memo.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in cut]
+        for piece in [p for p in fresh if len(p if p.__class__ is str else p[0]) > KEPT_LENGTH]:
+            del memo[piece], fresh[piece]
         for piece in islice(fresh, max(0, len(memo) - self.kept)):
             del memo[piece]
         return out

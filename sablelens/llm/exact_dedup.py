@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import bounded_batches, prefix_sums, saved
+from sablelens.llm.common import bounded_batches, lean, prefix_sums, release, saved
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -73,8 +73,8 @@ def _named(blocks: set[bytes], seed: int) -> pa.RecordBatch:
 
 
 def _integer_names(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Sort distinct rows and number them: keys and a dense long `_name`."""
-    return prefix_sums(distinct.select(*keys, F.lit(1).alias("_one")), keys, {"_name": "_one"}, name).select(*keys, "_name")
+    """Sort distinct rows and number them: keys, 1 and a dense long `_name`, saved."""
+    return prefix_sums(distinct.select(*keys, F.lit(1).alias("_one")), keys, {"_name": "_one"}, name)
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -86,20 +86,22 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     bounded_batches(docs.sparkSession)
     # Binary columns, so that texts cross to Python without decoding.
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text")).withColumn("_key", F.monotonically_increasing_id())
-    kind = docs.schema[doc_id].dataType
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).withColumn("_key", F.monotonically_increasing_id())
+    kind = docs.schema[doc_id].dataType.simpleString()
     seed = 0
     while True:
-        contents = rows.select("_text").mapInArrow(_blocks(seed, block), "_print binary, _content binary").distinct()
+        contents = rows.select("_text").mapInArrow(lean(_blocks(seed, block)), "_print binary, _content binary").distinct()
         prints = saved(contents.groupBy("_print").agg(F.count("*").alias("_contents")), "op6-prints")
         if prints.where("_contents > 1").limit(1).count() == 0:
             break
+        release(prints)
         seed += 1
-    narrow = saved(rows.mapInArrow(_documents(seed, block), "_key long, _id long, text_sha256 string, _prints array<binary>"), "op6-docs")
-    names = saved(_integer_names(prints, ["_print"], "op6-level0"), "op6-names0")
+    narrow = saved(rows.mapInArrow(lean(_documents(seed, block)), f"_key long, _id {kind}, text_sha256 string, _prints array<binary>"), "op6-docs")
+    names = _integer_names(prints, ["_print"], "op6-names0")
     # Level 0: fingerprints become names, gathered again in each document's order.
     parts = narrow.select("_key", F.posexplode("_prints").alias("_at", "_print"))
     level = saved(parts.join(names, "_print").select("_key", "_at", "_name"), "op6-named0")
+    made = [prints, names, level]
     sizes = narrow.select("_key", F.size("_prints").cast("long").alias("n_blocks"))
     done = level.join(sizes.where("n_blocks = 1"), "_key").select("_key", "_name", "n_blocks")
     level = level.join(sizes.where("n_blocks > 1"), "_key").select("_key", "_at", "_name", "n_blocks")
@@ -113,20 +115,22 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
             ),
             f"op6-pairs{depth}",
         )
-        named = saved(_integer_names(pairs.select("_left", "_right").distinct(), ["_left", "_right"], f"op6-level{depth}"), f"op6-names{depth}")
+        named = _integer_names(pairs.select("_left", "_right").distinct(), ["_left", "_right"], f"op6-names{depth}")
         every = saved(pairs.join(named, ["_left", "_right"]).select("_key", "_at", "_name", "n_blocks"), f"op6-named{depth}")
+        made += [pairs, named, every]
         last = F.col("n_blocks") <= (1 << depth)
         done = done.unionByName(every.where(last).select("_key", "_name", "n_blocks"))
         level = every.where(~last)
         depth += 1
     identity = saved(narrow.select("_key", "_id", "text_sha256").join(done, "_key"), "op6-identity")
+    release(narrow, *made)
     best = F.max(F.struct("_id", "_key")).alias("_best")
     # Written, so that the join deals both sides itself and a huge group of copies is split.
     groups = saved(identity.groupBy("n_blocks", "_name").agg(best, F.count("*").alias("group_size")), "op6-groups")
     out = identity.join(groups, ["n_blocks", "_name"])
     return out.select(
-        F.col("_id").cast(kind).alias("doc_id"),
-        F.col("_best._id").cast(kind).alias("keep_id"),
+        F.col("_id").alias("doc_id"),
+        F.col("_best._id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("_best._key") == F.col("_key")).alias("kept"),
         "text_sha256",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import bounded_batches, saved, unit
+from sablelens.llm.common import bounded_batches, lean, saved, unit
 
 GRAMS, BITS = 4, 17
 #: Bounds of the labelled sample: rows in all, split evenly over the languages, and landmarks among them.
@@ -77,8 +77,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def scores(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Probabilities, texts x labels: one sparse matrix product for the batch."""
+    def decisions(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Texts x labels: one sparse matrix product for the batch. Each label by itself was fitted to 1 for its texts and -1 for others."""
         rows = [self.column[g] for g in grams]
         rows = [r[r >= 0] for r in rows]
         sizes = np.array([len(r) for r in rows])
@@ -86,9 +86,13 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         sums = np.add.reduceat(self.weights[flat], starts, axis=0) if len(rows) else np.zeros((0, len(self.labels)))
         sums[sizes == 0] = 0
-        decision = sums / np.sqrt([max(1, len(g)) for g in grams])[:, None] + self.bias
-        e = np.exp(SHARPNESS * (decision - decision.max(axis=1, keepdims=True)))
-        return e / e.sum(axis=1, keepdims=True)
+        return sums / np.sqrt([max(1, len(g)) for g in grams])[:, None] + self.bias
+
+
+def scores(decisions: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1, of a sum of 1 for each text."""
+    e = np.exp(SHARPNESS * (decisions - decisions.max(axis=1, keepdims=True)))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def held_out(doc_id: str) -> Column:
@@ -124,7 +128,11 @@ def _kernel_rows(table: np.ndarray, norms: np.ndarray, column: np.ndarray):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """Learn from texts and labels of rows that are not held out; None where nothing is labelled."""
+    """Learn from texts and labels of rows that are not held out; None where nothing is labelled.
+
+    Rows without a text, a label or an id are not learned from. Which rows are sampled goes by a hash of the id, so that
+    reruns agree; repeated rows are samples like others. Extra columns are ignored.
+    """
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     counts = saved(known.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n")), "op10-langs")
@@ -143,7 +151,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     # Broadcast: at most sample_rows narrow rows (or two per language).
     sample = rows.join(F.broadcast(picked), (F.col("_i") == F.col("id")) & (F.col("_l") == F.col("lang"))).select("lang", "rank", "text")
     sample = saved(sample, "op10-sample")
-    sets = sample.where(F.col("rank") <= max(2, landmarks // langs)).mapInArrow(_sets, "lang string, rank int, grams binary").where("grams IS NOT NULL")
+    sets = sample.where(F.col("rank") <= max(2, landmarks // langs)).mapInArrow(lean(_sets), "lang string, rank int, grams binary").where("grams IS NOT NULL")
     marks = [np.frombuffer(r["grams"], np.int32) for r in sets.orderBy("lang", "rank").collect()]
     if not marks:
         return None
@@ -154,7 +162,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     for k, g in enumerate(marks):
         table[column[g], k] = 1
     norms = np.sqrt([len(g) for g in marks]).astype(np.float32)
-    learned = sample.repartition(max(1, min(16, sample_rows // 250)), "rank").mapInArrow(_kernel_rows(table, norms, column), "lang string, row binary").where("row IS NOT NULL").orderBy("lang", "row").collect()
+    learned = sample.repartition(max(1, min(16, sample_rows // 250)), "rank").mapInArrow(lean(_kernel_rows(table, norms, column)), "lang string, row binary").where("row IS NOT NULL").orderBy("lang", "row").collect()
     kernel = np.stack([np.frombuffer(r["row"], "<f4") for r in learned]).astype(np.float64)
     labels = tuple(sorted({r["lang"] for r in learned}))
     aims = np.array([[1.0 if r["lang"] == name else -1.0 for name in labels] for r in learned])
@@ -176,31 +184,34 @@ def _predict(model: Model | None):
         grams = Grams()
         for batch in batches:
             found = [grams.of(t) for t in batch.column("_text").to_pylist()]
-            langs, scores = [UNKNOWN] * len(found), [0.0] * len(found)
+            langs, chances, evidence = [UNKNOWN] * len(found), [0.0] * len(found), [0.0] * len(found)
             if model is not None and (real := [i for i, g in enumerate(found) if g is not None]):
-                p = model.scores([found[i] for i in real])
-                best = p.argmax(axis=1)
-                for i, k, row in zip(real, best, p, strict=True):
-                    langs[i], scores[i] = model.labels[k], float(row[k])
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
+                d = model.decisions([found[i] for i in real])
+                best = d.argmax(axis=1)
+                for i, k, chance, row in zip(real, best, scores(d), d, strict=True):
+                    langs[i], chances[i], evidence[i] = model.labels[k], float(chance[k]), float(row[k] - model.bias[k])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(langs, pa.string()), pa.array(chances, pa.float64()), pa.array(evidence, pa.float64())], names=["_row", "lang_pred", "score", "evidence"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) and two more, lang_pred and score, in place of any so named.
+    """The columns `keep` of docs (all by default) and three more, lang_pred, score and evidence, in place of any so named.
 
-    A text that is null or has no letter is `und` with score 0, as is every text where nothing was learned.
+    score compares the best language with the others; evidence is what the text's n-grams add to the best one's own decision, 0 for a
+    text that shares none with the landmarks, however many languages there are. A text that is null or has no
+    letter is `und` with score and evidence 0, as is every text where nothing was learned. Null ids and repeated rows are
+    rows like others; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    rest = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "evidence")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(text).alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"_row {kind}, lang_pred string, score double").select("_row.*", "lang_pred", "score")
+    return rows.mapInArrow(lean(_predict(model)), f"_row {kind}, lang_pred string, score double, evidence double").select("_row.*", "lang_pred", "score", "evidence")
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score; fitted on rows that are not held out.
+    """One row per row of docs: doc_id, held_out, lang_pred, score, evidence; fitted on rows that are not held out.
 
     Null ids are kept (and not learned from); repeated rows are each predicted, alike; an empty table gives an
     empty result; extra columns are ignored.

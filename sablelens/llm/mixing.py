@@ -8,8 +8,9 @@ fair sample of the mix while the quotas stay exact. A shard then draws the next
 permutation (wrapping for a second pass), which makes the draws disjoint, and shuffles its documents locally.
 The last block of a source is drawn in part: its documents in permuted order as far as they fit.
 
-Everything is DataFrame expressions. Tables of documents and of blocks are distributed; only the table of
-sources, one row for each, is ordered in a single task, and a node of the tree holds one number per source.
+Everything is DataFrame expressions. Tables of documents, of blocks and of the tree's nodes are distributed: nodes are dealt out
+anew every SPREAD levels. Only the table of sources, one row for each, is ordered in a single task, and a node holds one number
+per source.
 """
 
 from __future__ import annotations
@@ -20,22 +21,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import WORD, prefix_sums, saved, unit
+from sablelens.llm.common import WORD, partitions, prefix_sums, release, saved, unit
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS = 1.5, 2
 BLOCK_DOCS, SHARD_WORDS = 32, 1 << 20
+#: Levels of the tree that are worked out where their ancestor is.
+SPREAD = 6
 
 
 @dataclass(frozen=True)
 class Mix:
     """sources: source, size, n_docs, weight, target, quota. units: one row per distinct (doc_id, source, size).
-    draws: doc_id, source, size, pass, block, shard, position; a row each time that a document is taken."""
+    draws: doc_id, source, size, copies, pass, block, shard, position; a row each time that a unit is taken. shards: shard, and
+    quotas, the draws of blocks from each source in the order of sources."""
 
     sources: DataFrame
     units: DataFrame
     draws: DataFrame
+    shards: DataFrame
 
 
 def word_count(text: str) -> Column:
@@ -96,6 +101,8 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
         right = F.zip_with("quotas", "_left", lambda q, x: q - x)
         children = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("_left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))
         nodes = halved.select(F.explode(children).alias("_c")).select("_c.*")
+        if (level + 1) % SPREAD == 0:
+            nodes = nodes.repartition(partitions(quotas.sparkSession), "shard")
     return nodes
 
 
@@ -149,7 +156,7 @@ def mix(
     blocked = units.join(counted.select("_sk", "n_blocks"), "_sk").withColumn("block", F.pmod("_h", "n_blocks"))
     blocks = blocked.groupBy("_sk", "block").agg(F.sum(words).alias("_words"), F.lit(1).alias("_one"))
     blocks = blocks.withColumn("_perm", F.xxhash64(F.lit(seed + 1), "_sk", "block"))
-    summed = saved(prefix_sums(blocks, ["_sk", "_perm", "block"], {"_before": "_words", "_place": "_one"}, "op1-blocks"), "op1-summed")
+    summed = prefix_sums(blocks, ["_sk", "_perm", "block"], {"_before": "_words", "_place": "_one"}, "op1-blocks")
     bases = summed.groupBy("_sk").agg(F.min("_before").alias("_b0"), F.min("_place").alias("_p0"), F.count("*").alias("_full"))
     passes = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
     plan = sources.join(bases, "_sk").withColumn("_passes", passes).withColumn("_rest", F.col("target") - F.col("_passes") * F.col("size"))
@@ -192,26 +199,36 @@ def mix(
     columns = ["doc_id", "source", "size", "copies", "pass", "block", "shard", "_h"]
     draws = whole.select(*columns).unionByName(some.select(*columns)).where("size > 0")
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "_h", "pass", "shard"), "_h", "doc_id", "pass")
-    draws = draws.withColumn("position", F.row_number().over(local)).drop("_h")
-    return Mix(sources.drop("_rank"), units, draws)
+    draws = saved(draws.withColumn("position", F.row_number().over(local)).drop("_h"), "op1-draws")
+    release(counted, summed, placed, quotas, drawn)
+    return Mix(sources.drop("_rank"), units, draws, shards)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
-    """Per row of the documents: doc_id, size, source_size, target, taken; rows never drawn have taken 0."""
-    drawn = mixed.draws.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size"))).groupBy("_doc_id", "_source", "_size").agg(F.count("*").alias("_times"))
+    """Per row of the documents: doc_id, size, source_size, target, taken, and shards and positions of its draws, in the order of the passes.
+
+    Rows never drawn, null and empty texts among them, have taken 0 and empty lists; null ids and sources are kept, and rows equal in
+    id, source and size have equal results; an empty table gives an empty result.
+    """
+    place = F.array_sort(F.collect_list(F.struct("pass", "shard", "position"))).alias("_places")  # at most MOST_REPEATS and one
+    drawn = mixed.draws.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "pass", "shard", "position")
+    drawn = drawn.groupBy("_doc_id", "_source", "_size").agg(place)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    out = mixed.units.join(drawn, same, "left").select("doc_id", "_sk", "size", "copies", "_times")
+    out = mixed.units.join(drawn, same, "left").select("doc_id", "_sk", "size", "copies", F.coalesce("_places", F.array().cast("array<struct<pass:int,shard:bigint,position:int>>")).alias("_places"))
     out = out.join(mixed.sources.select("_sk", F.col("size").alias("source_size"), "target"), "_sk")
     out = out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "size", "source_size", "target", (F.coalesce("_times", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs with their columns, as often as they are drawn; rows never drawn go."""
-    options = {"text": "text", "source": "source", "doc_id": "doc_id"} | options
-    draws = mix(docs, **options).draws.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("pass").alias("_pass"))
-    times = draws.groupBy("_d", "_s", "_z").agg(F.count("*").alias("_times"))
-    sized = docs.withColumn("_size", word_count(options["text"]))
-    same = F.col(options["doc_id"]).eqNullSafe(F.col("_d")) & F.col(options["source"]).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    kept = sized.join(times, same)
-    return kept.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    return out.select("doc_id", "size", "source_size", "target", (F.size("_places") * F.col("size")).cast("long").alias("taken"), F.col("_places.shard").alias("shards"), F.col("_places.position").alias("positions"))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: rows of docs with their columns, as often as they are drawn; rows never drawn, null and empty texts among them, go.
+
+    Shards are dealt out whole, and a partition's rows stand in the order of shard and position: files written from
+    it hold the mix as it was drawn. Null ids and sources are kept, repeated rows are drawn together; an empty table gives an
+    empty result; extra columns, whatever their names, are carried along.
+    """
+    draws = mix(docs, text, source, doc_id, **options).draws.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "shard", "position")
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), word_count(text).alias("_size"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    drawn = sized.join(draws, same).select("_row", "shard", "position")
+    return drawn.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "position").select("_row.*")

@@ -5,12 +5,15 @@ shingle). Texts of equal word sequences are one class, represented by one row. E
 DEPTH minhash bytes. Sorted by one label, classes form a prefix trie; classes that share a prefix are candidates.
 Matching starts with whole labels. The prefixes are then shortened, one byte a round, until the links found show
 that the target recall is reached: a link of similarity j is seen at depth d with a probability that is known,
-1 - (1 - j^d)^TREES, and one over it estimates how many like it there are.
+1 - (1 - j^d)^TREES, and one over it estimates how many like it there are. It also ends at the depth where even a
+link of just the least similarity is seen with that probability, whatever was found.
 
 Candidates of a round are gathered as stars around each trie node's least member, and their components are
-clusters. A cluster's texts meet in tasks of two blocks of BLOCK members, however large it is, where all pairs
-are verified exactly by a product of presence matrices. Tasks send on a spanning forest of the links they found and
-the number of links of each member, never the pairs, so that a huge group costs rows in proportion to its members.
+clusters. Only texts of clusters are dealt out. A cluster's texts meet in tasks of two blocks of some BLOCK members,
+however large it is, where all pairs are verified exactly by a product of presence matrices: a cluster of n different texts
+takes n * n / 2 comparisons and carries each text n / BLOCK times, the price of exact numbers of links. Tasks send on a
+spanning forest of the links they found and the number of links of each member, never the pairs, so that a huge group
+costs rows in proportion to its members.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import bounded_batches, partitions, saved
+from sablelens.llm.common import bounded_batches, lean, partitions, release, saved, slices
 from sablelens.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH, RECALL = 24, 7, 3, 0.999
-BLOCK = 128
+TREES, DEPTH, RECALL = 24, 7, 0.999
+#: Members and words of a block, about.
+BLOCK, BLOCK_WORDS = 512, 1 << 19
+#: Most keys of 8 bytes that are broadcast to pick the texts of clusters; more are joined by a shuffle of all texts.
+BROADCAST_KEYS = 1 << 21
 #: Bytes that are hashed at a time.
 WINDOW = 1 << 18
 #: Odd multipliers and their inverse powers' base for hashing bytes and words.
@@ -146,7 +152,7 @@ def labels(found: np.ndarray, starts: np.ndarray, trees: int, depth: int) -> np.
 
 def _signatures(trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             words, at = word_hashes(batch.column("_text"))
             found, starts = shingles(words, at)
             made = labels(found, starts, trees, depth)
@@ -156,7 +162,7 @@ def _signatures(trees: int, depth: int):
                 [batch.column("_key"), pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in made], pa.binary())], names=["_key", "_class", "n_words", "_labels"]
             )
 
-    return run
+    return lean(run)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +203,7 @@ def similarities(sets: list[np.ndarray], left: int) -> np.ndarray:
     both = np.zeros((left, len(sets)), np.float32)
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    width = 1 << 14  # columns at a time, for bounded memory
+    width = 1 << 12  # columns at a time, for bounded memory
     for begin in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
         a, b = np.searchsorted(columns, [begin, begin + width])
         x = np.zeros((len(sets), width), np.float32)
@@ -232,7 +238,7 @@ def _verify(similarity: float, depth: int, trees: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out, unpack = None, [], [], zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_frame", 1 << 19)):
             texts = [unpack.decompress(f).decode("utf-8", "surrogatepass") for f in batch.column("_frame").to_pylist()]
             words, begin = word_hashes(pa.array(texts, pa.large_string()))
             found, starts = shingles(words, begin)
@@ -251,7 +257,7 @@ def _verify(similarity: float, depth: int, trees: int):
         if out:
             yield _made(out)
 
-    return run
+    return lean(run)
 
 
 def _made(out: list[tuple]) -> pa.RecordBatch:
@@ -261,12 +267,20 @@ def _made(out: list[tuple]) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class Near:
-    """rows: _key, _row (all columns of the input), as saved. members: _key, doc_id, class_key (the least key of the
-    row's class), n_links. links: a, b, keys of class representatives that are linked, a spanning forest of them."""
+    """rows: _key, _row (all columns of the input), as saved. members: _key, doc_id, class_key, n_links. firsts:
+    class_key, class_id (the class's least doc_id, null where it has none) and the _key of the row that has it.
+    links: a, b, keys of different texts that are linked, a spanning forest of them. recall: estimated, of all links."""
 
     rows: DataFrame
     members: DataFrame
+    firsts: DataFrame
     links: DataFrame
+    recall: float
+
+
+def seen_with(similarity: float, depth: int, trees: int) -> float:
+    """The probability that two texts of that similarity share a prefix of that depth in any tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> Near:
@@ -274,7 +288,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     n_links counts the other rows linked to a row, copies included. Texts without words (null, empty, white
     space) have no links, not even to each other. Null ids and repeated rows are rows like others. An empty
-    table gives empty results; extra columns are carried in `rows` alone.
+    table gives empty results; extra columns, whatever their names, are carried in `rows` alone.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -282,24 +296,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = rows.select("_key", F.col(f"_row.`{text}`").alias("_text"))
     signed = saved(texts.mapInArrow(_signatures(trees, depth), "_key long, _class binary, n_words long, _labels binary"), "op4-signed")
     worded = signed.where("n_words > 0")
-    classes = saved(worded.groupBy("_class").agg(F.min("_key").alias("node"), F.count("*").alias("weight")), "op4-classes")
-    nodes = saved(classes.hint("merge").join(signed.select("_key", "_labels"), F.col("node") == F.col("_key")).select("node", "weight", "_labels"), "op4-nodes")
+    classes = saved(worded.groupBy("_class").agg(F.min("_key").alias("node"), F.count("*").alias("weight"), F.first("n_words").alias("n_words")), "op4-classes")
+    nodes = saved(classes.join(signed.select("_key", "_labels"), F.col("node") == F.col("_key")).select("node", "weight", "n_words", "_labels"), "op4-nodes")
     at = depth
     while True:
         found = _round(texts, nodes, trees, depth, at, similarity)
         n, estimate = found.where("kind = 2").agg(F.sum("b"), F.sum("x")).first()
-        if not n or at <= LEAST_DEPTH or n >= recall * estimate:
+        reached = n / estimate if n else seen_with(similarity, at, trees)
+        if n and reached >= recall or at == 1 or seen_with(similarity, at, trees) >= recall:
             break
         at -= 1
+        release(found)
+    release(nodes)
     links = found.where("kind = 0").select("a", "b")
     groups = components(links, "op4-groups")
     counts = saved(found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "op4-counts")
     done = classes.join(groups, "node", "left").join(counts, "node", "left")
     done = saved(done.select("_class", F.coalesce("component", "node").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links")), "op4-done")
     ids = rows.select("_key", F.col(f"_row.`{doc_id}`").alias("doc_id"))
-    keyed = saved(worded.select("_key", "_class").join(done, "_class").select("_key", "class_key", "n_links"), "op4-keyed")
-    members = ids.join(keyed, "_key", "left").select("_key", "doc_id", F.coalesce("class_key", "_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return Near(rows, members, links)
+    keyed = saved(worded.select("_key", "_class").join(done, "_class"), "op4-keyed")
+    members = ids.join(keyed, "_key", "left").select("_key", "doc_id", "_class", F.coalesce("class_key", "_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    members = saved(members, "op4-members")
+    release(signed, classes, groups, counts, done, keyed)
+    # By doc_id, and by the text among equal ids, so that neither depends on how the rows came.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_class", "_key")).alias("_least")
+    firsts = saved(members.groupBy("class_key").agg(least).select("class_key", F.col("_least.doc_id").alias("class_id"), F.col("_least._key").alias("_key")), "op4-firsts")
+    return Near(rows, members.drop("_class"), firsts, links, reached)
 
 
 def _round(texts: DataFrame, nodes: DataFrame, trees: int, depth: int, at: int, similarity: float) -> DataFrame:
@@ -310,31 +332,47 @@ def _round(texts: DataFrame, nodes: DataFrame, trees: int, depth: int, at: int,
     heads = prefixes.groupBy("trie").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     heads = saved(heads, "op4-heads")
     # Stars around the least member of each trie node: candidates, not links.
-    stars = prefixes.join(heads.hint("merge"), "trie").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = components(saved(stars, "op4-stars"), "op4-clusters")
-    sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("size")), "op4-sizes")
-    placed = saved(clusters.join(sizes.hint("merge"), "component").join(nodes.select("node", "weight").hint("merge"), "node"), "op4-placed")
+    stars = prefixes.join(heads, "trie").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = saved(stars, "op4-stars")
+    found = components(stars, "op4-clusters")
+    clusters = saved(found.join(nodes.select("node", "weight", "n_words"), "node"), "op4-clustered")
+    release(heads, stars, found)
+    sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("size"), F.sum("n_words").alias("words")), "op4-sizes")
     # Small clusters are one task of one block. Large ones are dealt to blocks by a hash, and every two blocks meet once.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.when(blocks == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("mine", mine)
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    mine = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), "blocks")).cast("int")
+    placed = saved(clusters.join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine), "op4-placed")
+    release(clusters, sizes)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = placed.withColumn("other", other).select(
         "node", "weight", F.col("component").alias("cluster"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    packed = texts.mapInArrow(_packed, "_key long, _frame binary")
-    full = packed.join(met.hint("merge"), F.col("node") == F.col("_key")).select("cluster", "i", "j", "side", "node", "weight", "_frame")
+    wanted = placed.select(F.col("node").alias("_node"))
+    few = placed.count() <= BROADCAST_KEYS
+    picked = texts.join(F.broadcast(wanted) if few else wanted, F.col("_key") == F.col("_node"), "left_semi")
+    packed = picked.mapInArrow(lean(_packed), "_key long, _frame binary")
+    if few:
+        packed = saved(packed, "op4-packed")
+    full = packed.join(met, F.col("node") == F.col("_key")).select("cluster", "i", "j", "side", "node", "weight", "_frame")
     dealt = full.repartition(partitions(texts.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "node")
-    return saved(dealt.mapInArrow(_verify(similarity, at, trees), "kind int, a long, b long, x double"), "op4-found")
+    made = saved(dealt.mapInArrow(_verify(similarity, at, trees), "kind int, a long, b long, x double"), "op4-found")
+    release(placed, *([packed] if few else []))
+    return made
 
 
 def near_classes(near: Near) -> DataFrame:
-    """doc_id, class_id, n_links: class_id is the doc_id of the class's least row by key."""
-    names = near.members.select(F.col("_key").alias("class_key"), F.col("doc_id").alias("class_id"))
-    return near.members.join(names, "class_key").select("doc_id", "class_id", "n_links")
+    """One row per row of the input: doc_id, class_id, n_links; class_id is the least doc_id of its class.
+
+    Nulls come last: a class has a null id only if all its rows do. Texts without words are classes of their own; an empty
+    input gives an empty result.
+    """
+    return near.members.join(near.firsts.select("class_key", "class_id"), "class_key").select("doc_id", "class_id", "n_links")
 
 
 def without_near_duplicates(near: Near) -> DataFrame:
-    """One row of each class, with the input's columns; texts without words are classes of their own."""
-    kept = near.members.where("_key = class_key").select(F.col("_key").alias("_kept"))
-    return near.rows.join(kept, F.col("_key") == F.col("_kept")).select("_row.*")
+    """The row of the least doc_id of each class (of equal ids one), with the input's columns; null ids come last.
+
+    Texts without words are classes of their own and all stay; an empty input gives an empty result.
+    """
+    kept = near.firsts.select(F.col("_key").alias("_kept"))
+    return near.rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select("_row.*")

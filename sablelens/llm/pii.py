@@ -6,8 +6,8 @@ that is exactly the set of valid values, split into two parts, and run through a
 permutation, so that equal values get equal pseudonyms in all documents and different values different ones. Separators
 and case stay; a card's check digit is made anew.
 
-All of it is DataFrame expressions: one regular expression finds the candidates, split gives the text between
-them, and only the few matches go through the network.
+All of it is DataFrame expressions: one regular expression finds the candidates and their places, and only the few matches go
+through the network. Spans are worked out in time in proportion to the matches.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sablelens.functions.spans import SPANS, bound, match_spans, running_sums
 from sablelens.llm.common import text_or_empty
 
 KEY = "sablelens"
 ROUNDS = 8
 
-# What candidates look like, the most specific first.
-EMAIL = r"(?<![A-Za-z0-9._%+\p{L}-])[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
+# What candidates look like, the most specific first. A domain has at most 127 labels.
+EMAIL = r"(?<![A-Za-z0-9._%+\p{L}-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/]|[.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
@@ -46,11 +47,6 @@ LATE_A, LATE_B = 9, 9833
 DATE_FORMATS = {"^....-": "yyyy-MM-dd", "/": "MM/dd/yyyy", r"\.": "dd.MM.yyyy"}
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def feistel(a: Column, b: Column, size_a: Column, size_b: Column, tweak: Column, key: str) -> Column:
     """struct(a, b) permuted within [0, size_a) x [0, size_b) by ROUNDS keyed rounds; tweak names the domain."""
 
@@ -67,32 +63,56 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
-def _power(base: int, n: Column) -> Column:
-    return F.round(F.pow(F.lit(float(base)), n)).cast("long") if base == 10 else F.element_at(F.array(*(F.lit(base**k) for k in range(12))), n + 1)
-
-
-def _permuted(symbols: Column, base: int, tweak: str, key: str) -> Column:
-    """A string of symbols of the base (10 or 36), at most 22 of base 36, to another of the same length."""
-    n = F.length(symbols)
+def _permuted(digits: Column, tweak: str, key: str) -> Column:
+    """A string of at most 18 digits to another of the same length."""
+    n = F.length(digits)
     half = F.floor(n / 2).cast("int")
-    number = lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0))
-    text = lambda x, length: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), length, "0")
-    left, right = F.substring(symbols, F.lit(1), half), F.substring(symbols, half + 1, n - half)
+    number = lambda d: F.coalesce(d.try_cast("long"), F.lit(0))
+    size = lambda k: F.round(F.pow(F.lit(10.0), k)).cast("long")
+    left, right = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half)
     tag = F.concat(F.lit(tweak), F.lit(":"), n.cast("string"))
-    moved = feistel(number(left), number(right), _power(base, half), _power(base, n - half), tag, key)
-    return _bound(moved, lambda m: F.concat(F.when(half > 0, text(m["a"], half)).otherwise(""), text(m["b"], n - half)))
+    moved = feistel(number(left), number(right), size(half), size(n - half), tag, key)
+    text = lambda x, length: F.lpad(x.cast("string"), length, "0")
+    return bound(moved, lambda m: F.concat(F.when(half > 0, text(m["a"], half)).otherwise(""), text(m["b"], n - half)))
+
+
+#: Symbols of names, and digits of a round's hash that give one of them: 16 ** 4 numbers for 36.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyz"
+HASH_DIGITS = 4
+
+
+def _permuted_name(symbols: Column, tweak: str, key: str) -> Column:
+    """A string of a-z and 0-9 of any length to another of the same length, as an array: a Feistel network whose rounds
+    add, symbol by symbol, the keyed hash of one half to the other."""
+    half = F.floor(F.size(symbols) / 2).cast("int")
+    each = 128 // HASH_DIGITS
+
+    def added(left: Column, right: Column, r: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), F.lit(tweak), F.size(symbols), r, F.array_join(right, ","))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(left) / each).cast("int")), lambda k: F.sha2(F.concat_ws("|", seed, k), 512))
+        stream = lambda h: F.transform(left, lambda x, i: ((x + F.conv(F.substring(F.element_at(h, F.floor(i / each).cast("int") + 1), i % each * HASH_DIGITS + 1, F.lit(HASH_DIGITS)), 16, 10).cast("int")) % len(SYMBOLS)).cast("int"))
+        return bound(blocks, stream)
+
+    numbers = F.transform(symbols, lambda c: (F.call_function("locate", c, F.lit(SYMBOLS)) - 1).cast("int"))
+    start = F.struct(F.slice(numbers, F.lit(1), half).alias("a"), F.slice(numbers, half + 1, F.size(symbols)).alias("b"))
+    turn = lambda s, r: F.struct(s["b"].alias("a"), added(s["a"], s["b"], r).alias("b"))
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+    return F.transform(moved, lambda x: F.substring(F.lit(SYMBOLS), x + 1, F.lit(1)))
 
 
 def _put_back(shape: Column, symbols: Column, pattern: str) -> Column:
-    """shape with its characters that match pattern replaced, in order, by symbols; capitals stay capitals."""
-    chars = F.split(shape, "")
+    """shape with its characters that match pattern replaced, in order, by the array's; capitals stay capitals."""
+
+    def placed(cs: Column) -> Column:
+        before = running_sums(F.transform(cs, lambda c: c.rlike(pattern).cast("int")))
+        new = lambda c, k: F.when(c.rlike("[A-Z]"), F.upper(F.element_at(symbols, k + 1))).otherwise(F.element_at(symbols, k + 1))
+        return F.array_join(F.zip_with(cs, before, lambda c, k: F.when(c.rlike(pattern), new(c, k)).otherwise(c)), "")
 
-    def place(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"(?!{pattern}).", ""))
-        new = F.substring(symbols, before + 1, F.lit(1))
-        return F.when(c.rlike(pattern), F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)).otherwise(c)
+    return bound(_characters(shape), placed)
 
-    return F.array_join(F.transform(chars, place), "")
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def luhn(body: Column) -> Column:
@@ -112,8 +132,8 @@ def _number(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     distance = F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") - luhn(body), F.lit(10))
-    new = _bound(_permuted(body, 10, "number", key), lambda b: F.concat(b, F.pmod(luhn(b) + distance, F.lit(10)).cast("string")))
-    return _bound(new, lambda x: _put_back(m, x, "[0-9]"))
+    new = bound(_permuted(body, "number", key), lambda b: F.concat(b, F.pmod(luhn(b) + distance, F.lit(10)).cast("string")))
+    return bound(new, lambda x: _put_back(m, _characters(x), "[0-9]"))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -122,8 +142,8 @@ def _phone(m: Column, key: str) -> Column:
     ten = m.rlike(rf"\A(?:{TEN_DIGITS})\z")
     abroad = F.length(F.regexp_extract(digits, COUNTRY, 1))
     country = F.when(ten, F.length(digits) - 10).when(m.startswith("+"), abroad).otherwise(1)
-    new = F.concat(F.substring(digits, F.lit(1), country), _permuted(F.substring(digits, country + 1, F.length(digits) - country), 10, "phone", key))
-    return _bound(new, lambda x: _put_back(m, x, "[0-9]"))
+    new = F.concat(F.substring(digits, F.lit(1), country), _permuted(F.substring(digits, country + 1, F.length(digits) - country), "phone", key))
+    return bound(new, lambda x: _put_back(m, _characters(x), "[0-9]"))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -137,7 +157,7 @@ def _ssn(m: Column, key: str) -> Column:
         parts = (F.lpad((zone + F.when(zone >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
         return F.concat_ws("-", *parts)
 
-    return F.when(valid, _bound(feistel(a, serial - 1, F.lit(898 * 99), F.lit(9999), F.lit("ssn"), key), back))
+    return F.when(valid, bound(feistel(a, serial - 1, F.lit(898 * 99), F.lit(9999), F.lit("ssn"), key), back))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -145,7 +165,7 @@ def _ip(m: Column, key: str) -> Column:
     octet = lambda k: parts[k].cast("int")
     valid = F.forall(parts, lambda p: p.cast("int") <= 255)
     moved = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536), F.lit("ip"), key)
-    return F.when(valid, _bound(moved, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string"))))
+    return F.when(valid, bound(moved, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string"))))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -166,7 +186,7 @@ def _day_first(m: Column, key: str) -> Column:
     def moved(d: Column) -> Column:
         # Every month lacks its first twelve days.
         place = F.datediff(d, start) - 12 * ((F.year(d) - 1800) * 12 + F.month(d))
-        return _bound(feistel(F.floor(place / LATE_B), place % LATE_B, F.lit(LATE_A), F.lit(LATE_B), F.lit("late"), key), lambda p: back((p["a"] * LATE_B + p["b"]).cast("int")))
+        return bound(feistel(F.floor(place / LATE_B), place % LATE_B, F.lit(LATE_A), F.lit(LATE_B), F.lit("late"), key), lambda p: back((p["a"] * LATE_B + p["b"]).cast("int")))
 
     def back(place: Column) -> Column:
         near = F.floor(place * 4800 / (LATE_A * LATE_B)).cast("int")
@@ -174,20 +194,19 @@ def _day_first(m: Column, key: str) -> Column:
         begun = F.filter(months, lambda k: F.datediff(F.add_months(start, k), start) - 12 * k <= place)
         return F.date_format(F.date_add(start, place + 12 * (F.array_max(begun) + 1)), "dd/MM/yyyy")
 
-    return F.when(F.year(day).between(1800, 2199), _bound(day, moved))
+    return F.when(F.year(day).between(1800, 2199), bound(day, moved))
 
 
 def _as_date(parts: Column, form: str) -> Column:
-    return _bound(parts, lambda p: F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), (p["a"] * CYCLE_B + p["b"]).cast("int")), form))
+    return bound(parts, lambda p: F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), (p["a"] * CYCLE_B + p["b"]).cast("int")), form))
 
 
 def _email(m: Column, key: str) -> Column:
-    """The letters a-z and digits before the @ are permuted among those of their number; more than 22 give way to a keyed hash. Other letters and the domain stay."""
+    """The letters a-z and digits before the @ are permuted among those of their number. Other letters and the domain stay."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    symbols = F.regexp_replace(F.lower(local), "[^a-z0-9]", "")
-    hashed = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), symbols), 256), 1, 22)
-    new = F.when(F.length(symbols) <= 22, _permuted(symbols, 36, "email", key)).otherwise(F.rpad(hashed, F.length(symbols), "0"))
-    return F.when(F.length(symbols) == 0, m).otherwise(F.concat(_bound(new, lambda x: _put_back(local, x, "[a-zA-Z0-9]")), F.lit("@"), domain))
+    symbols = _characters(F.regexp_replace(F.lower(local), "[^a-z0-9]", ""))
+    made = bound(symbols, lambda s: F.when(F.size(s) == 0, local).otherwise(bound(_permuted_name(s, "email", key), lambda x: _put_back(local, x, "[a-zA-Z0-9]"))))
+    return F.concat(made, F.lit("@"), domain)
 
 
 #: A value to its pseudonym, null where the value isn't valid.
@@ -200,39 +219,36 @@ def _replaced(m: Column, key: str) -> Column:
     for name, pattern in reversed(KINDS.items()):
         whole = m.rlike(rf"\A(?:{pattern})\z")
         kind, new = F.when(whole, F.lit(name)).otherwise(kind), F.when(whole, MAKERS[name](m, key)).otherwise(new)
-    return _bound(new, lambda n: F.struct(kind.alias("kind"), m.alias("value"), F.coalesce(n, m).alias("pseudonym"), n.isNotNull().alias("valid")))
+    return bound(new, lambda n: F.struct(kind.alias("kind"), m.alias("value"), F.coalesce(n, m).alias("pseudonym"), n.isNotNull().alias("valid")))
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with its text column rewritten and a column pii, an array of (kind, start, end, pseudonym), in place of any so named.
 
     Spans are code points of the old text, ends exclusive; only an IP address may change its length. Null texts stay null, with no spans;
-    a text without personal data stays as it is, byte for byte. Ids, repeated rows and extra columns don't matter to it.
+    a text without personal data stays as it is, byte for byte. Ids, repeated rows and extra columns, whatever their names, don't
+    matter to it; an empty table gives an empty result.
     """
-    body = text_or_empty(text)
-    matches = F.when(body.rlike(SIGN), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("_m", F.transform(matches, lambda m: _replaced(m, key)))
-    gaps = F.when(F.size("_m") > 0, F.split(body, ANY, -1)).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("_g", gaps)
-    joined = F.concat(F.array_join(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: F.concat(g, m["pseudonym"])), ""), F.element_at("_g", -1))
-    spans = "array<struct<kind:string,start:int,end:int,pseudonym:string>>"
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        end = start + F.length(x["m"]["value"])
-        new = F.struct(x["m"]["kind"].alias("kind"), start.alias("start"), end.alias("end"), x["m"]["pseudonym"].alias("pseudonym"))
-        return F.struct(end.alias("at"), F.concat(s["got"], F.array(new)).alias("got"))
-
-    listed = F.aggregate(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("got")), step, lambda s: s["got"])
-    # A valid value counts even where its pseudonym happens to be the same.
-    values = F.zip_with(listed, "_m", lambda s, m: F.when(m["valid"], s))
-    pii = F.when(F.size("_m") > 0, F.filter(values, lambda s: s.isNotNull())).otherwise(F.array().cast(spans))
     rest = [c for c in docs.columns if c not in (text, "pii")]
-    return found.select(*rest, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)).alias(text), pii.alias("pii"))
+    body = F.coalesce("_text", F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row") if rest else F.lit(None).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    found = F.when(body.rlike(SIGN), match_spans(body, ANY)).otherwise(F.array().cast(SPANS))
+    made = lambda s: bound(_replaced(s["value"], key), lambda r: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["gap"].alias("gap"), r.alias("r")))
+    rows = rows.withColumn("_found", F.transform(found, made))
+    pieces = F.transform("_found", lambda s: F.concat(s["gap"], s["r"]["pseudonym"]))
+    rest_of_it = F.substring(body, F.element_at("_found", -1)["end"] + 1, F.length(body))
+    joined = F.concat(F.array_join(pieces, ""), rest_of_it)
+    valid = F.filter("_found", lambda s: s["r"]["valid"])
+    pii = F.transform(valid, lambda s: F.struct(s["r"]["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["r"]["pseudonym"].alias("pseudonym")))
+    return rows.select(*([F.col("_row.*")] if rest else []), F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias(text), pii.alias("pii"))
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = KEY) -> DataFrame:
-    """One row per row of docs that holds personal data: doc_id, n_found, one count per kind, spans, text (with pseudonyms)."""
+    """One row per row of docs that holds personal data: doc_id, n_found, one count per kind, spans, text (with pseudonyms).
+
+    Null texts hold none; null ids are kept; repeated rows are each reported; an empty table gives an empty result; extra
+    columns are ignored.
+    """
     made = pseudonymised(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", key).where(F.size("pii") > 0)
     return made.select(
         "doc_id",

@@ -1,19 +1,24 @@
 """Secret scans with multipart credential linking.
 
 Certain secrets (base kinds) are reported as they stand. Weak candidates, which alone would be noise, are
-reported only where complementary parts of one credential co-occur: an identifier, a secret and an endpoint
-lie within the same scope, a stretch of SCOPE code points of one document. Parts are dealt to scope-wide bins
-and interval-joined with the bins on either side; each bin is first reduced to its outermost part of every
-role, so that neither a document full of parts nor a hot one makes pairs.
+reported only where complementary parts of one credential co-occur within their scope, SCOPE code points on either
+side: an identifier or a secret needs both other roles (identifier, secret, endpoint) there, or a certain secret or
+identifier that complements it. Parts are dealt to scope-wide bins and interval-joined with the bins on either side; each
+bin is first reduced to its outermost parts of every role, certain ones apart, which is enough to tell whether any lies
+within the distance, so that neither a document full of parts nor a hot one makes pairs.
 
 One pass of JVM regular expressions reads the texts; all else works on narrow tables of spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sablelens.functions.spans import match_spans
 from sablelens.llm.common import saved, text_or_empty
 
 # The base kinds with the least length of what they must hold, in the order of the contract.
@@ -27,39 +32,36 @@ KINDS = ("assign", "access", "hex")
 WEAK = {
     "weak_id": ("id", r"""(?i)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""),
     "weak_secret": ("secret", r"""(?i)\b(?:pass|pwd|pw|key|auth|credential|private_?key|secret_?key|access_?token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
-    "weak_blob": ("secret", r"""\b(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])(?=[A-Za-z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{20,}"""),
+    "weak_blob": ("secret", r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"""),
     "endpoint": ("endpoint", r"""(?i)\b(?:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ssh)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}"""),
 }
+#: What the value of a candidate of that kind must hold besides, wherever in it.
+HOLDS = {"weak_blob": ("[0-9]", "[A-Z]", "[a-z]")}
+#: The roles of certain kinds.
+CERTAIN = {"access": "id", "assign": "secret", "hex": "secret"}
 #: A cheap sign that a text holds a weak part at all.
 ANY_WEAK = r"(?i)[:=]|[A-Za-z0-9+/_-]{20}"
 SCOPE = 400
 
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost non-overlapping matches as structs of kind, start, end in code points, without a Python pass.
+NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
 
-    The text between matches comes from split, the matches from regexp_extract_all; a running sum over both
-    gives the positions.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("got"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + x["own"]
-        return F.struct(end.alias("at"), F.concat(s["got"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))).alias("got"))
+def _spans(text: Column, pattern: str, kind: str, holds: Callable[[Column], Column] | None = None) -> Column:
+    """All matches, of those whose value holds what it must, as structs of kind, start, end."""
+    found = match_spans(text, pattern)
+    kept = F.filter(found, lambda m: holds(m["value"])) if holds else found
+    return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(lengths, begin, step, lambda s: s["got"])).otherwise(empty)
+def _assigned(match: Column) -> Column:
+    """Whether an assignment's value is long enough."""
+    return F.length(F.regexp_extract(match, ASSIGN, 2)) >= ASSIGN_VALUE
 
 
-def _assign_spans(text: Column) -> Column:
-    spans = _spans(text, ASSIGN, "assign")
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    kept = F.filter(F.arrays_zip(spans.alias("s"), values.alias("v")), lambda x: F.length(x["v"]) >= ASSIGN_VALUE)
-    return F.when(text.rlike(ASSIGN), F.transform(kept, lambda x: x["s"])).otherwise(spans)
+def _holding(kind: str) -> Callable[[Column], Column] | None:
+    signs = HOLDS.get(kind, ())
+    return (lambda value: reduce(Column.__and__, (value.rlike(sign) for sign in signs))) if signs else None
 
 
 def _listed(spans: Column) -> Column:
@@ -76,35 +78,35 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sc
     table gives an empty result; extra columns are ignored. Spans are in code points, the end exclusive.
     """
     body = text_or_empty(text)
-    weak = [_spans(body, pattern, kind) for kind, (_, pattern) in WEAK.items()]
+    weak = [_spans(body, pattern, kind, _holding(kind)) for kind, (_, pattern) in WEAK.items()]
     scanned = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.monotonically_increasing_id().alias("_key"),
-        _assign_spans(body).alias("_assign"),
-        F.filter(_spans(body, ACCESS, "access"), lambda s: s["end"] - s["start"] >= ACCESS_LENGTH).alias("_access"),
+        _spans(body, ASSIGN, "assign", _assigned).alias("_assign"),
+        _spans(body, ACCESS, "access", lambda value: F.length(value) >= ACCESS_LENGTH).alias("_access"),
         _spans(body, HEX, "hex").alias("_hex"),
-        F.when(body.rlike(ANY_WEAK), F.concat(*weak)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("_weak"),
+        F.when(body.rlike(ANY_WEAK), F.concat(*weak)).otherwise(F.array().cast(NO_SPANS)).alias("_weak"),
     )
     scanned = saved(scanned, "op2-spans")
 
-    roles = F.create_map(*(F.lit(x) for k, (role, _) in WEAK.items() for x in (k, role)), F.lit("access"), F.lit("id"), F.lit("assign"), F.lit("secret"), F.lit("hex"), F.lit("secret"))
+    role_of = {k: role for k, (role, _) in WEAK.items()} | CERTAIN
+    roles = F.create_map(*(F.lit(x) for pair in role_of.items() for x in pair))
     parts = scanned.where(F.size("_weak") > 0).select("_key", F.explode(F.concat("_weak", "_assign", "_access", "_hex")).alias("_s"))
     parts = parts.select("_key", "_s", roles[F.col("_s.kind")].alias("role"), F.expr(f"_s.start div {scope}").alias("_bin"))
-    # Per bin and role the outermost parts say whether any lies within the scope of a point in a neighbouring bin.
-    bins = parts.groupBy("_key", "_bin", "role").agg(F.min("_s.start").alias("_first"), F.max("_s.start").alias("_last"))
-    near = bins.select("_key", "role", "_first", "_last", F.explode(F.array(F.col("_bin") - 1, "_bin", F.col("_bin") + 1)).alias("_bin"), F.col("_bin").alias("_of"))
-    asked = parts.where(F.col("_s.kind").isin(*WEAK) & (F.col("role") != "endpoint")).withColumnRenamed("role", "_own")
-    met = asked.join(near, ["_key", "_bin"]).where("role <> _own")
+    # Per bin and role the outermost parts say whether any lies within the scope of a point in a neighbouring bin;
+    # certain parts count under a role of their own as well.
+    marked = F.when(F.col("_s.kind").isin(*CERTAIN), F.array("role", F.concat(F.lit("sure "), "role"))).otherwise(F.array("role"))
+    bins = parts.select("_key", "_bin", F.explode(marked).alias("role"), "_s.start").groupBy("_key", "_bin", "role").agg(F.min("start").alias("_first"), F.max("start").alias("_last"))
+    near = bins.select("_key", F.col("role").alias("_other"), "_first", "_last", F.explode(F.array(F.col("_bin") - 1, "_bin", F.col("_bin") + 1)).alias("_bin"), F.col("_bin").alias("_of"))
+    asked = parts.where(F.col("_s.kind").isin(*WEAK) & (F.col("role") != "endpoint"))
     at = F.col("_s.start")
-    within = (F.col("_of") == F.col("_bin")) | (F.col("_of") < F.col("_bin")) & (at - F.col("_last") <= scope) | (F.col("_of") > F.col("_bin")) & (F.col("_first") - at <= scope)
-    # A weak part is one of a credential if both complementary roles lie within its scope,
-    # or an identifier and a secret do and one of the two is certain.
-    sure = parts.where(F.col("_s.kind").isin(*KINDS)).groupBy("_key", "_bin").agg(F.min("_s.start").alias("_sure")).select("_key", F.explode(F.array(F.col("_bin") - 1, "_bin", F.col("_bin") + 1)).alias("_bin")).distinct()
-    linked = met.where(within).groupBy("_key", "_bin", "_own", "_s").agg(F.collect_set("role").alias("_roles"))
-    linked = linked.join(sure.withColumn("_certain", F.lit(True)), ["_key", "_bin"], "left")
-    linked = linked.where((F.size("_roles") == 2) | F.coalesce("_certain", F.lit(False)) & F.array_contains("_roles", F.when(F.col("_own") == "id", "secret").otherwise("id")))
+    within = F.when(F.col("_of") < F.col("_bin"), at - F.col("_last") <= scope).when(F.col("_of") > F.col("_bin"), F.col("_first") - at <= scope).otherwise(True)
+    linked = asked.join(near, ["_key", "_bin"]).where(within).groupBy("_key", "role", "_s").agg(F.collect_set("_other").alias("_roles"))
+    other = F.when(F.col("role") == "id", "secret").otherwise("id")
+    whole = F.array_contains("_roles", other) & F.array_contains("_roles", F.lit("endpoint"))
+    linked = linked.where(whole | F.array_contains("_roles", F.concat(F.lit("sure "), other)))
     found = linked.groupBy("_key").agg(F.collect_list("_s").alias("_linked"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast(NO_SPANS)
     out = scanned.drop("_weak").join(found, "_key", "left").withColumn("linked", F.coalesce("_linked", none)).withColumn("base", F.concat("_assign", "_access", "_hex"))
     return out.select(
         "doc_id",

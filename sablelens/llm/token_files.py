@@ -26,8 +26,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from sablelens.llm.common import bounded_batches, partitions, prefix_sums, shared_dir
+from sablelens.llm.common import bounded_batches, lean, partitions, prefix_sums, shared_dir
 from sablelens.llm.encoding import known, vocabulary
 
 MAGIC = b"SLTOK001"
@@ -37,13 +38,19 @@ DICTIONARY_BYTES = 64 << 10
 #: Bounds of the sample that trains the dictionary; it decides how well frames compress and nothing else.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 4000
 SEGMENT_BYTES = 4 << 20
+#: Ids for each partition in the sample that finds the ranges.
+CUT_SAMPLE = 200
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str) -> bytes:
-    """A zstandard dictionary from the documents with the smallest hashes; empty where there is too little to train on."""
+    """A zstandard dictionary from the documents with the smallest hashes; empty where there is too little to train on.
+
+    Null ids and texts are not trained on, repeated rows are as often as they fit; extra columns are ignored.
+    """
     # The ids are picked first, so that a task hands on ids and no texts.
-    ids = docs.select(F.col(doc_id).alias("_i")).where("_i IS NOT NULL").orderBy(F.xxhash64(F.lit("op3"), "_i"), "_i").limit(SAMPLE_DOCS).distinct()
-    picked = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_i"), "left_semi").select(F.substring(F.col(text), 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    ids = rows.select("_id").where("_id IS NOT NULL").orderBy(F.xxhash64(F.lit("op3"), "_id"), "_id").limit(SAMPLE_DOCS).distinct().withColumnRenamed("_id", "_picked")
+    picked = rows.join(F.broadcast(ids), F.col("_id") == F.col("_picked"), "left_semi").select(F.substring("_text", 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS)
     texts = [r[0] or "" for r in picked.collect()]
     try:
         samples = vocabulary(tokenizer).ids(texts)
@@ -52,6 +59,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text: str, doc_id: str) ->
         return b""
 
 
+def _cuts(ids: DataFrame, parts: int) -> list[int]:
+    """Ends of some 4 * parts ranges of about as many ids each, from a sample of rows whose size doesn't depend on theirs; they decide no result."""
+    wanted = CUT_SAMPLE * parts
+    share = min(1.0, wanted / max(1, ids.count()))
+    sampled = ids.where(F.rand(3) < share) if share < 1 else ids
+    return sampled.agg(F.percentile_approx("_id", [i / (4 * parts) for i in range(1, 4 * parts)], 20 * parts)).first()[0] or []
+
+
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -154,21 +169,24 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
     """Encode every whole text, append id 0 to each, and write the files in ascending doc_id order; returns their folder.
 
     Null texts count as empty and give the end id alone; null ids come first; rows that share an id are put in
-    the order of a checksum of their ids. An empty table writes an empty folder of files.
+    the order of a checksum of their ids. An empty table writes an empty folder of files; extra columns are ignored. The
+    format holds ids of 64 bits: docs with ids of another type than an integer are refused.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} is no integer column")
     bounded_batches(spark)
     tokenizer = known(tokenizer)
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     dictionary = train_dictionary(docs, tokenizer, text, doc_id)
     parts = partitions(spark)
     ids = docs.select(F.col(doc_id).cast("long").alias("_id"))
-    cuts = ids.agg(F.percentile_approx("_id", [i / (4 * parts) for i in range(1, 4 * parts)], 10_000)).first()[0] or []
+    cuts = _cuts(ids, parts)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    encoded = rows.mapInArrow(_encode(tokenizer, dictionary, list(cuts)), "bucket long, doc_id long, _tie long, n_tokens long, frame binary")
+    encoded = rows.mapInArrow(lean(_encode(tokenizer, dictionary, list(cuts))), "bucket long, doc_id long, _tie long, n_tokens long, frame binary")
     dealt = encoded.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "_tie", "n_tokens")
     schema = "bucket long, segment long, first_doc_id long, last_doc_id long, n_docs long, n_tokens long, content binary"
-    dealt.mapInArrow(_segments(vocabulary(tokenizer).width, dictionary, SEGMENT_BYTES), schema).write.option("compression", "none").parquet(f"{path}/segments")
+    dealt.mapInArrow(lean(_segments(vocabulary(tokenizer).width, dictionary, SEGMENT_BYTES)), schema).write.option("compression", "none").parquet(f"{path}/segments")
     made = spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), LEVEL)], "sha256 string, dictionary binary, level int")
     made.coalesce(1).write.parquet(f"{path}/dictionary")
     return path
@@ -216,12 +234,12 @@ def _read(dictionary: bytes):
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32, bucket, segment."""
+    """Per document of the files, those of null and repeated ids included: doc_id, start, n_tokens, ids_crc32, bucket, segment. Files of an empty table give an empty result."""
     dictionary = read_dictionary(spark, path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    bounded_batches(spark)
     segments = spark.read.parquet(f"{path}/segments")
     starts = prefix_sums(segments.select("bucket", "segment", "n_tokens"), ["bucket", "segment"], {"_base": "n_tokens"}, "op3-starts").drop("n_tokens")
     schema = "bucket long, segment long, doc_id long, _local long, n_tokens long, ids_crc32 long"
-    rows = segments.select("bucket", "segment", "content").mapInArrow(_read(dictionary), schema)
+    rows = segments.select("bucket", "segment", "content").mapInArrow(lean(_read(dictionary)), schema)
     out = rows.join(starts, ["bucket", "segment"])
     return out.select("doc_id", (F.col("_base") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32", "bucket", "segment")
