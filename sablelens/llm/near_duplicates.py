@@ -36,7 +36,7 @@ from sablelens.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 7, 0.999
 #: Members and words of a block, about.
-BLOCK, BLOCK_WORDS = 512, 1 << 19
+BLOCK, BLOCK_WORDS = 256, 1 << 18
 #: Most keys of 8 bytes that are broadcast to pick the texts of clusters; more are joined by a shuffle of all texts.
 BROADCAST_KEYS = 1 << 21
 #: Bytes that are hashed at a time.
@@ -173,6 +173,18 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(frames, pa.binary())], names=["_key", "_frame"])
 
 
+def _unpacked_slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts take some `most` bytes unpacked, and a row at least: some texts shrink a thousandfold."""
+    sizes = [max(0, zstandard.frame_content_size(f.as_py())) for f in batch.column("_frame")]
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        if k > begin and held + size > most:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    yield batch.slice(begin)
+
+
 class Forest:
     """Union-find over the members of one task."""
 
@@ -238,7 +250,7 @@ def _verify(similarity: float, depth: int, trees: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out, unpack = None, [], [], zstandard.ZstdDecompressor()
-        for batch in (part for whole in batches for part in slices(whole, "_frame", 1 << 19)):
+        for batch in (part for whole in batches for part in _unpacked_slices(whole)):
             texts = [unpack.decompress(f).decode("utf-8", "surrogatepass") for f in batch.column("_frame").to_pylist()]
             words, begin = word_hashes(pa.array(texts, pa.large_string()))
             found, starts = shingles(words, begin)
