@@ -220,15 +220,18 @@ def taken_words(mixed: Mix) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.size("_places") * F.col("size")).cast("long").alias("taken"), F.col("_places.shard").alias("shards"), F.col("_places.position").alias("positions"))
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", places: bool = False, **options) -> DataFrame:
     """The mix itself: rows of docs with their columns, as often as they are drawn; rows never drawn, null and empty texts among them, go.
 
-    Shards are dealt out whole, and a partition's rows stand in the order of shard and position: files written from
-    it hold the mix as it was drawn. Null ids and sources are kept, repeated rows are drawn together; an empty table gives an
+    Rows are dealt to partitions by a hash, so that no source stays together, and a partition's rows stand in the order of shard and
+    position: a file written from it is a fair part of the mix in its order. With `places` the columns shard and position are
+    added, in place of any so named. Null ids and sources are kept, repeated rows are drawn together; an empty table gives an
     empty result; extra columns, whatever their names, are carried along.
     """
     draws = mix(docs, text, source, doc_id, **options).draws.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "shard", "position")
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), word_count(text).alias("_size"))
     same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    drawn = sized.join(draws, same).select("_row", "shard", "position")
-    return drawn.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "position").select("_row.*")
+    # A merge join at every size: it is what deals the rows by a hash, and Spark can split a unit with many copies.
+    drawn = sized.join(draws.hint("merge"), same).select("_row", "shard", "position").sortWithinPartitions("shard", "position")
+    rest = [f"_row.`{c}`" for c in docs.columns if not (places and c in ("shard", "position"))]
+    return drawn.select(*rest, *(["shard", "position"] if places else []))
