@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sablelens.functions.spans import bound
+
 # Suffixes by format, in the order in which formats are tried.
 EXTENSIONS = {"ndpi": ("ndpi",), "svs": ("svs",), "mrxs": ("mrxs",), "bif": ("bif",), "scn": ("scn",), "dicom": ("dcm", "dicom"), "tiff": ("tif", "tiff")}
 #: Fields that identify, by format.
@@ -137,8 +139,8 @@ def svs_fields(description: Column) -> Column:
     """Array of (key, value), later repeats of a key replacing earlier ones in place of the last."""
     parts = F.filter(F.split(description, r"\|"), lambda p, i: (i > 0) & p.contains("="))
     pairs = F.transform(parts, lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("key"), strip(F.regexp_replace(p, r"(?s)^[^=]*=", "")).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    return F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
+    last = lambda ps, keys: F.filter(ps, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
+    return bound(pairs, lambda ps: bound(F.transform(ps, lambda p: p["key"]), lambda keys: last(ps, keys)))
 
 
 def svs_done(key: Column, value: Column) -> Column:
@@ -196,17 +198,22 @@ def markup_done(value: Column) -> Column:
 
 
 def _named(text: Column, names: tuple[str, ...], pattern: str) -> Column:
-    lists = []
-    for name in names:
-        lists.append(_tagged(F.regexp_extract_all(text, F.lit(pattern.replace("NAME", name)), F.lit(1)), name))
-    return F.concat(*lists)
+    """(key, value) of all names, in their order and then by place; the text is gone through once for each group."""
+    known = F.array(*(F.lit(n.lower()) for n in names))
+    spelled = F.array(*map(F.lit, names))
+    found = [F.regexp_extract_all(text, F.lit(_any(pattern, names)), F.lit(g)) for g in (1, 2)]
+    ranked = F.zip_with(*found, lambda n, v: F.struct(F.array_position(known, F.lower(F.upper(n))).cast("int").alias("rank"), v.alias("value")))
+    placed = F.array_sort(F.transform(ranked, lambda r, i: F.struct(r["rank"].alias("rank"), i.alias("at"), r["value"].alias("value"))))
+    pairs = F.transform(placed, lambda r: F.struct(F.element_at(spelled, r["rank"]).alias("key"), strip(r["value"]).alias("value")))
+    return F.when(text.rlike(_any(pattern, names)), pairs).otherwise(F.array().cast(PAIRS))
 
 
-def _tagged(values: Column, name: str) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(name).alias("key"), strip(v).alias("value")))
+def _any(pattern: str, names: tuple[str, ...]) -> str:
+    return pattern.replace("NAME", f"({'|'.join(names)})")
 
 
-ATTRIBUTE, ELEMENT = r'(?iu)NAME\s*=\s*"([^"]*)"', r"(?iu)<NAME[^>]*>([^<]+)</NAME>"
+PAIRS = "array<struct<key:string,value:string>>"
+ATTRIBUTE, ELEMENT = r'(?iu)NAME\s*=\s*"([^"]*)"', r"(?iu)<NAME[^>]*>([^<]+)</\1>"
 #: Processing instructions, whose attributes don't count.
 INSTRUCTION = r"(?s)<\?.*?(?:\?>|\z)"
 
@@ -218,38 +225,32 @@ def xmp_findings(text: Column) -> Column:
 def scn_findings(text: Column) -> Column:
     bare = F.regexp_replace(text, INSTRUCTION, " ")
     found = F.concat(_named(text, SCN_NAMES, ELEMENT), _named(bare, SCN_NAMES, ATTRIBUTE))
-    return F.when(text.contains("<"), F.filter(found, lambda f: ~markup_done(f["value"]))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return F.when(text.contains("<"), F.filter(found, lambda f: ~markup_done(f["value"]))).otherwise(F.array().cast(PAIRS))
 
 
 def _overwritten(text: Column, pattern: str, group: int) -> Column:
     """The given group of every match replaced by as many X, where it isn't done already; all else stays."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
 
     def one(m: Column, v: Column) -> Column:
-        head = F.regexp_extract(m, r'(?s)^(.*?["\>])', 1)
+        head = F.regexp_extract(m, r'(?s)^(.*?["\>])', 1)  # up to the value
         tail = F.substring(m, F.length(head) + F.length(v) + 1, F.length(m))
         return F.when(markup_done(v), m).otherwise(F.concat(head, F.repeat(F.lit("X"), F.length(v)), tail))
 
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), F.zip_with(found, inner, one), lambda g, c: F.concat(g, c)), ""), F.element_at(gaps, -1))
-    return F.when(text.rlike(pattern), joined).otherwise(text)
-
+    def joined(found: Column) -> Column:
+        changed = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), one)
+        return bound(F.split(text, pattern, -1), lambda gaps: F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), changed, lambda g, c: F.concat(g, c)), ""), F.element_at(gaps, -1)))
 
-# All names at once, so that a text is gone through once: a name and what follows it can't overlap another's match.
-def _any_attribute(names: tuple[str, ...]) -> str:
-    return ATTRIBUTE.replace("NAME", f"(?:{'|'.join(names)})")
+    return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), joined)).otherwise(text)
 
 
 def xmp_redacted(text: Column) -> Column:
-    return _overwritten(text, _any_attribute(XMP_ATTRIBUTES), 1)
+    return _overwritten(text, _any(ATTRIBUTE, XMP_ATTRIBUTES), 2)
 
 
 def scn_redacted(text: Column) -> Column:
     """Elements, then attributes outside of processing instructions."""
-    elements = rf"(?iu)<({'|'.join(SCN_NAMES)})[^>]*>([^<]+)</\1>"
-    marked = F.regexp_replace(_overwritten(text, elements, 2), f"({INSTRUCTION})", "\0$1\0")
-    fixed = F.transform(F.split(marked, "\0"), lambda p: F.when(p.startswith("<?"), p).otherwise(_overwritten(p, _any_attribute(SCN_NAMES), 1)))
+    marked = F.regexp_replace(_overwritten(text, _any(ELEMENT, SCN_NAMES), 2), f"({INSTRUCTION})", "\0$1\0")
+    fixed = F.transform(F.split(marked, "\0"), lambda p: F.when(p.startswith("<?"), p).otherwise(_overwritten(p, _any(ATTRIBUTE, SCN_NAMES), 2)))
     return F.array_join(fixed, "")
 
 

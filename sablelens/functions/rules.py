@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablelens.functions.spans import match_spans
+from sablelens.functions.spans import bound, match_spans
 
 
 @dataclass(frozen=True)
@@ -76,28 +76,31 @@ MATCHES = "array<struct<ord:int,label:string,start:int,length:int,value:string>>
 def matches(text: Column, rules: tuple[Rule, ...], unicode: bool = True, to_nul: bool = False, drop_blank: bool = False) -> Column:
     """All matches of all rules in rule order as an array of structs.
 
-    Each rule is a literal, so that its compiled form is kept, and a text that no rule matches costs one rlike per
-    rule. Positions come from the lengths of the pieces between matches. to_nul extends a match to the next NUL
-    character; drop_blank leaves out those of X alone.
+    A text that no rule matches, as most, costs one search for all of them together; others are searched rule by rule. to_nul
+    extends a match to the next NUL character; drop_blank leaves out those of X alone.
     """
-    lists = [_one(text, i, r, unicode, to_nul) for i, r in enumerate(rules)]
-    found = F.concat(*lists) if lists else F.array().cast(MATCHES)
+    if not rules:
+        return F.array().cast(MATCHES)
+    flags = "(?U)" if unicode else ""
+    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(r.label).alias("label"), F.lit(flags + r.pattern).alias("pattern")) for i, r in enumerate(rules)))
+    every = flags + "|".join(f"(?:{r.pattern})" for r in rules)
+
+    def of_rule(t: Column, r: Column) -> Column:
+        def row(m: Column) -> Column:
+            length = m["end"] - m["start"]
+            if to_nul:
+                nul = F.call_function("locate", F.lit("\0"), t, m["start"] + 1)
+                length = F.when(nul > 0, nul - 1 - m["start"]).otherwise(length)
+            value = F.substring(t, m["start"] + 1, length) if to_nul else m["value"]
+            return F.struct(r["ord"].alias("ord"), r["label"].alias("label"), m["start"].alias("start"), length.alias("length"), value.alias("value"))
+
+        return F.transform(match_spans(t, r["pattern"]), row)
+
+    searched = lambda t: F.when(t.rlike(every), F.flatten(F.transform(table, lambda r: of_rule(t, r)))).otherwise(F.array().cast(MATCHES))
+    found = bound(text, searched)
     return F.filter(found, lambda m: ~m["value"].rlike("^X+$")) if drop_blank else found
 
 
-def _one(text: Column, number: int, rule: Rule, unicode: bool, to_nul: bool) -> Column:
-    pattern = f"(?U){rule.pattern}" if unicode else rule.pattern
-
-    def row(m: Column) -> Column:
-        length = m["end"] - m["start"]
-        if to_nul:
-            nul = F.call_function("locate", F.lit("\0"), text, m["start"] + 1)
-            length = F.when(nul > 0, nul - 1 - m["start"]).otherwise(length)
-        return F.struct(F.lit(number).alias("ord"), F.lit(rule.label).alias("label"), m["start"].alias("start"), length.alias("length"), F.substring(text, m["start"] + 1, length).alias("value"))
-
-    return F.transform(match_spans(text, pattern), row)
-
-
 def scan_strings(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = IDENTIFIERS) -> DataFrame:
     """keys, ord, label, start, length, value: a row per match of a string rule."""
     return _exploded(df, keys, matches(F.col(text), rules))

@@ -37,13 +37,14 @@ def running_sums(sizes: Column) -> Column:
 SPANS = "array<struct<start:int,end:int,value:string,gap:string>>"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """All leftmost non-overlapping matches as structs of start, end (code points, end exclusive), value and gap, the text since the match before.
 
     Positions come from the lengths of matches and gaps. A text without any match costs one search.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts = bound(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.regexp_extract_all(text, pattern, F.lit(0)),
         lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("before"), F.length(m).alias("own"), m.alias("value"), g.alias("gap"))),
     )
 
@@ -51,4 +52,4 @@ def match_spans(text: Column, pattern: str) -> Column:
         begins = running_sums(F.transform(ps, lambda p: p["before"] + p["own"]))
         return F.zip_with(ps, begins, lambda p, at: F.struct((at + p["before"]).alias("start"), (at + p["before"] + p["own"]).alias("end"), p["value"].alias("value"), p["gap"].alias("gap")))
 
-    return F.when(text.rlike(pattern), bound(parts, placed)).otherwise(F.array().cast(SPANS))
+    return F.when(F.rlike(text, pattern), bound(parts, placed)).otherwise(F.array().cast(SPANS))

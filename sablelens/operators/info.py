@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablelens.operators.scan import TIFFS, text_of
@@ -14,8 +14,14 @@ from sablelens.sources.tiff import read_tags
 SHOWN, MOST_PAGES = ("Make", "Model", "Software"), 200
 
 
+def data_size(data: DataFrame) -> DataFrame:
+    """data_file_count, total_data_size of the Data*.dat files among a slide's (name, length)."""
+    own = data.where(F.col("name").rlike(r"^Data.*\.dat$"))
+    return own.agg(F.count("*").alias("data_file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_data_size"))
+
+
 def info(spark: SparkSession, path: str) -> dict:
-    row = S.detected(S.list_files(spark, path)).withColumn("format", S.handler()).first()
+    row = S.detected(S.list_files(S.walk(spark, path))).withColumn("format", S.handler()).first()
     if row is None:
         return {"error": "not a known file"}
     out = {"format": row["format"], "filename": row["name"], "file_size": row["length"]}
@@ -31,4 +37,5 @@ def info(spark: SparkSession, path: str) -> dict:
     elif row["format"] == "mrxs":
         sections = read_ini(one).agg(F.countDistinct("section").alias("sections"), F.first("error").alias("error")).first()
         out |= {"sections": sections["sections"]} | ({"error": sections["error"]} if sections["error"] else {})
+        out |= data_size(S.data_files(S.walk(spark, path.rsplit(".", 1)[0]), one)).first().asDict()
     return out

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sablelens.sources import files as S
+
 #: Fixed value: the certificate's form.
 VERSION = "1.0"
 
@@ -57,6 +60,51 @@ def space_needed(files: DataFrame, free: int) -> DataFrame:
     return files.agg(F.count("*").alias("files"), total.alias("needed")).withColumn("space", F.when(F.col("needed") > free, "error").when(F.col("needed") * 1.1 > free, "warning").otherwise("ok"))
 
 
+def preflight(files: DataFrame, output: str | None = None, free: int | None = None) -> DataFrame:
+    """level (error or warning), message: what keeps a batch from being written. files: path, name, length.
+
+    Files that can't be opened are looked for by the executors; a batch without files is an error, and so is an output that
+    isn't a folder that can be written to, or too little space for copies.
+    """
+    spark = files.sparkSession
+    found = [("error", "No files to process.")] if files.isEmpty() else []
+    if output is not None and "://" not in output:
+        if os.path.exists(output):
+            if not os.path.isdir(output):
+                found.append(("error", f"Output path exists but is not a directory: {output}"))
+            elif not os.access(output, os.W_OK):
+                found.append(("error", f"Output directory is not writable: {output}"))
+        elif os.access(os.path.dirname(os.path.abspath(output)), os.W_OK):
+            found.append(("warning", f"Output directory will be created: {output}"))
+        else:
+            found.append(("error", f"Cannot create output directory (parent not writable): {output}"))
+    own = spark.createDataFrame(found, "level string, message string")
+    closed = S.with_heads(files.select("path", "name"), 1).where("head IS NULL").select(F.lit("error").alias("level"), F.concat(F.lit("Cannot read "), "name").alias("message"))
+    if free is None:
+        return own.unionByName(closed)
+    space = space_needed(files, free).where("space <> 'ok'")
+    words = F.when(F.col("space") == "error", "Insufficient disk space: need ").otherwise("Low disk space: need ")
+    return own.unionByName(closed).unionByName(space.select(F.col("space").alias("level"), F.concat(words, "needed", F.lit(f" bytes, have {free}")).alias("message")))
+
+
+def log_line(level: Column | str, message: Column | str) -> Column:
+    """[time] [LEVEL] message, the message at the same place for every level."""
+    level = F.col(level) if isinstance(level, str) else level
+    return F.concat(F.lit("["), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.rpad(F.concat(F.lit("["), F.upper(level), F.lit("]")), 7, " "), F.lit(" "), F.col(message) if isinstance(message, str) else message)
+
+
+def result_log(results: DataFrame) -> DataFrame:
+    """line: a log line for each result row, errors as such and files that aren't verified as warnings."""
+    level = F.when(F.col("error").isNotNull(), "ERROR").when(~F.col("verified"), "WARN").otherwise("INFO")
+    message = F.concat("path", F.when(F.col("error").isNotNull(), F.concat(F.lit(": "), "error")).otherwise(F.concat(F.lit(": "), F.col("cleared").cast("string"), F.lit(" cleared"))))
+    return results.select("path", log_line(level, message).alias("line")).orderBy("path").select("line")
+
+
+def sanitized(text: Column) -> Column:
+    """Anything but printable ASCII as question marks, one for each code point."""
+    return F.regexp_replace(text, r"[^\x20-\x7E]", "?")
+
+
 def certificate(results: DataFrame, institution: str = "", mode: str = "copy", timestamps_reset: bool = False) -> str:
     """The batch's certificate as JSON. Its one list grows with the batch; file_records is the same as a table, for batches too large to hold."""
     stats = batch_stats(results).first().asDict()

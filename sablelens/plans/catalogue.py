@@ -482,21 +482,6 @@ def tiff_udtf_roundtrip(spark, sf_dir):
     return tags.select("path", "tag_id", text.alias("value"))
 
 
-@query()
-def uid_remap(spark, sf_dir):
-    s = slides(spark, sf_dir).select("slide_id", F.concat(F.lit("1.2.840."), "slide_id").alias("uid"), "name")
-    new = s.withColumn("new_uid", D.remapped_uid("uid", "name")).withColumn("again", D.remapped_uid("uid", "name"))
-    return new.select("slide_id", "new_uid", (F.col("new_uid").rlike(r"^2\.25\.[0-9]{1,59}$") & (F.col("new_uid") == F.col("again"))).alias("ok"))
-
-
-@query("SELECT slide_id, concat('ab', repeat('X', length(code)), right(name, 3)) AS patched FROM {S} s")
-def patch_apply(spark, sf_dir):
-    """Patches of bytes in a column: overlay, where files take the sink."""
-    s = slides(spark, sf_dir).select("slide_id", F.concat(F.lit("ab"), "code", F.right("name", F.lit(3))).cast("binary").alias("content"), F.length("code").alias("n"))
-    patched = F.overlay("content", F.repeat(F.lit("X"), F.col("n")).cast("binary"), F.lit(3), "n")
-    return s.select("slide_id", F.decode(patched, "US-ASCII").alias("patched"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf_dir):
     return windows(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from sablelens.functions import fields as P
-from sablelens.sources.files import TIFF_SUFFIXES, open_file
+from sablelens.sources.files import TIFF_SUFFIXES, open_file, store_of
 from sablelens.sources.tiff import NAMES, TAGS, tag_rows
 
 #: Files that one task reads, at most.
@@ -41,7 +41,7 @@ class SlideReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        store, place = pafs.FileSystem.from_uri(self.root if "://" in self.root else "file://" + self.root)
+        store, place = store_of(self.root)
         found = sorted(i.path for i in store.get_file_info(pafs.FileSelector(place, recursive=True)) if i.type == pafs.FileType.File and i.extension.lower() in SUFFIXES)
         scheme = self.root.split("://")[0] + "://" if "://" in self.root else ""
         return [Files([scheme + p for p in found[k : k + FILES]]) for k in range(0, len(found), FILES)]
@@ -49,10 +49,15 @@ class SlideReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         tag_at, dir_at = NAMES.index("tag_id"), NAMES.index("dir")
         for path in partition.paths:
-            with open_file(path) as f:
-                for row in tag_rows(path, f, self.tags):
-                    if (self.tags is None or row[tag_at] in self.tags) and (self.dirs is None or row[dir_at] in self.dirs):
-                        yield row
+            try:
+                with open_file(path) as f:
+                    rows = tag_rows(path, f, self.tags)
+            except OSError as why:
+                rows = [(path, *[None] * (len(NAMES) - 2), str(why))]
+            for row in rows:
+                # The row of a file that can't be read passes no filter.
+                if (self.tags is None or row[tag_at] in self.tags) and (self.dirs is None or row[dir_at] in self.dirs):
+                    yield row
 
 
 class SlideSource(DataSource):

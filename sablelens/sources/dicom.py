@@ -1,7 +1,8 @@
-"""A parser of DICOM files, explicit or implicit VR, little endian, to the pixel data; nested datasets become rows."""
+"""A parser of DICOM files, explicit or implicit VR, little endian, by seeking and up to the pixel data; nested datasets become rows."""
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -18,6 +19,9 @@ LONG_VRS = ("OB", "OD", "OF", "OL", "OV", "OW", "SQ", "UC", "UN", "UR", "UT", "S
 TEXT_VRS = ("AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT")
 PIXELS, ITEM, ITEM_END, SEQUENCE_END = (0x7FE0, 0x0010), (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
 IMPLICIT = "1.2.840.10008.1.2"
+#: Transfer syntaxes with another byte order, and with everything compressed; such files are errors, never clean.
+NOT_READ = ("1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99")
+WINDOW = 1 << 16
 UNDEFINED = 0xFFFFFFFF
 MOST_DEPTH = 16
 
@@ -28,26 +32,54 @@ def _implicit_vr(tag: str) -> str:
     return known.get(tag, "UN")
 
 
+class Window:
+    """Bytes of an open file by place, of which WINDOW are held at a time."""
+
+    def __init__(self, f):
+        self.f, self.at, self.held = f, 0, b""
+        f.seek(0, 2)
+        self.size = f.tell()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def part(self, at: int, n: int) -> bytes:
+        if n > WINDOW:
+            self.f.seek(at)
+            return self.f.read(n)
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.f.seek(at)
+            self.at, self.held = at, self.f.read(WINDOW)
+        return self.held[at - self.at : at - self.at + n]
+
+    def unpack(self, form: str, at: int) -> tuple:
+        return struct.unpack(form, self.part(at, struct.calcsize(form)))
+
+
 class Reader:
-    def __init__(self, raw: bytes):
-        if raw[128:132] != b"DICM":
+    """Reads the structure and the texts of an open file, by seeking; pixels and other binary values are passed over."""
+
+    def __init__(self, f):
+        self.raw, self.rows, self.implicit = Window(f), [], False
+        if self.raw.part(128, 4) != b"DICM":
             raise ValueError("not a DICOM file")
-        self.raw, self.rows, self.implicit = raw, [], False
         #: Sequences and items of a defined length: where its field is, where the content begins and ends.
         self.sized: list[tuple[int, int, int]] = []
 
     def parse(self) -> list[tuple]:
         at = 132
-        while at + 8 <= len(self.raw) and struct.unpack_from("<H", self.raw, at)[0] == 2:
+        while at + 8 <= len(self.raw) and self.raw.unpack("<H", at)[0] == 2:
             at, row = self._element(at, 0, "", meta=True)
             if row and row[2] == "0002,0010":
                 self.implicit = row[5] == IMPLICIT
+                if row[5] in NOT_READ:
+                    raise ValueError(f"transfer syntax {row[5]} is not read")
         self._dataset(at, len(self.raw), 0, "")
         return self.rows
 
     def _dataset(self, at: int, stop: int, depth: int, path: str) -> int:
         while at + 8 <= stop:
-            tag = struct.unpack_from("<HH", self.raw, at)
+            tag = self.raw.unpack("<HH", at)
             if tag == ITEM_END or tag == SEQUENCE_END:
                 return at + 8
             if tag == PIXELS and depth == 0:
@@ -56,16 +88,16 @@ class Reader:
         return at
 
     def _element(self, at: int, depth: int, path: str, meta: bool = False) -> tuple[int, tuple | None]:
-        start, (group, element) = at, struct.unpack_from("<HH", self.raw, at)
+        start, (group, element) = at, self.raw.unpack("<HH", at)
         tag = f"{group:04X},{element:04X}"
         if self.implicit and not meta:
-            vr, length, at = _implicit_vr(tag), struct.unpack_from("<I", self.raw, at + 4)[0], at + 8
+            vr, length, at = _implicit_vr(tag), self.raw.unpack("<I", at + 4)[0], at + 8
         else:
-            vr = self.raw[at + 4 : at + 6].decode("ascii", "replace")
+            vr = self.raw.part(at + 4, 2).decode("ascii", "replace")
             if vr in LONG_VRS:
-                length, at = struct.unpack_from("<I", self.raw, at + 8)[0], at + 12
+                length, at = self.raw.unpack("<I", at + 8)[0], at + 12
             else:
-                length, at = struct.unpack_from("<H", self.raw, at + 6)[0], at + 8
+                length, at = self.raw.unpack("<H", at + 6)[0], at + 8
         place = len(self.rows)
         if vr == "SQ" or length == UNDEFINED:
             self.rows.append(None)
@@ -78,7 +110,7 @@ class Reader:
             end = at + length
             if end > len(self.raw):
                 raise ValueError("a value runs past the end of the file")
-            value = self.raw[at:end].decode("utf-8", "replace").rstrip("\0 ") if vr in TEXT_VRS or vr == "UN" and length < 256 else None
+            value = self.raw.part(at, length).decode("utf-8", "replace").rstrip("\0 ") if vr in TEXT_VRS or vr == "UN" and length < 256 else None
             row = (depth, path, tag, vr, bool(group % 2), value, None, start, at, end)
             self.rows.append(row)
         return end, row
@@ -86,7 +118,7 @@ class Reader:
     def _sequence(self, at: int, stop: int, depth: int, path: str) -> tuple[int, int]:
         items = 0
         while at + 8 <= stop:
-            tag, length = struct.unpack_from("<HH", self.raw, at), struct.unpack_from("<I", self.raw, at + 4)[0]
+            tag, length = self.raw.unpack("<HH", at), self.raw.unpack("<I", at + 4)[0]
             at += 8
             if tag == SEQUENCE_END:
                 return at, items
@@ -103,16 +135,17 @@ class Reader:
         return at, items
 
 
-def element_rows(path: str, raw: bytes) -> list[tuple]:
+def element_rows(path: str, content) -> list[tuple]:
+    """Rows of ELEMENTS of an open file or of bytes; one with the error of what can't be read."""
     try:
-        return [(path, *r, None) for r in Reader(raw).parse()]
+        return [(path, *r, None) for r in Reader(io.BytesIO(content) if isinstance(content, bytes) else content).parse()]
     except (ValueError, struct.error) as why:
         return [(path, *[None] * (len(NAMES) - 2), str(why))]
 
 
-def nested_private(raw: bytes) -> list[tuple[int, int, bytes]]:
+def nested_private(f) -> list[tuple[int, int, bytes]]:
     """(offset, length, payload): what drops the private elements in sequence items and corrects the lengths of all around them."""
-    reader = Reader(raw)
+    reader = Reader(f)
     gone: list[tuple[int, int]] = []
     for start, end in sorted((r[7], r[9]) for r in reader.parse() if r[0] > 0 and r[4]):
         if not gone or start >= gone[-1][1]:  # one inside of another goes with it
@@ -125,6 +158,17 @@ def nested_private(raw: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def decode_nested_private(contents: DataFrame, key: str, content: str) -> DataFrame:
+    """The rows of nested_private from files that are held in a binary column; key, as text, stands for their path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *r) for k, raw in zip(batch["key"], batch["content"], strict=True) for r in nested_private(io.BytesIO(bytes(raw)))]
+            yield pd.DataFrame(rows, columns=["path", "offset", "length", "payload"]).astype(object)
+
+    return contents.selectExpr(f"CAST(`{key}` AS STRING) AS key", f"`{content}` AS content").mapInPandas(run, "path string, offset long, length long, payload binary")
+
+
 def read_nested_private(files: DataFrame) -> DataFrame:
     """The rows of nested_private by path; none of a file that can't be read, which read_elements reports."""
 
@@ -133,7 +177,7 @@ def read_nested_private(files: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 try:
                     with open_file(path) as f:
-                        rows = [(path, *r) for r in nested_private(f.read())]
+                        rows = [(path, *r) for r in nested_private(f)]
                 except (OSError, ValueError, struct.error):
                     rows = []
                 yield pd.DataFrame(rows, columns=["path", "offset", "length", "payload"]).astype(object)
@@ -141,6 +185,17 @@ def read_nested_private(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, offset long, length long, payload binary")
 
 
+def decode_elements(contents: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows of ELEMENTS from files that are held in a binary column; key, as text, stands for their path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [row for k, raw in zip(batch["key"], batch["content"], strict=True) for row in element_rows(k, bytes(raw))]
+            yield pd.DataFrame(rows, columns=NAMES).astype(object)
+
+    return contents.selectExpr(f"CAST(`{key}` AS STRING) AS key", f"`{content}` AS content").mapInPandas(run, ELEMENTS)
+
+
 def read_elements(files: DataFrame) -> DataFrame:
     """A row per element, nested ones with their depth and the path to their item; see ELEMENTS."""
 
@@ -149,7 +204,7 @@ def read_elements(files: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 try:
                     with open_file(path) as f:
-                        rows = element_rows(path, f.read())
+                        rows = element_rows(path, f)
                 except OSError as why:
                     rows = [(path, *[None] * (len(NAMES) - 2), str(why))]
                 yield pd.DataFrame(rows, columns=NAMES).astype(object)

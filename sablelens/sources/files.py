@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablelens.functions import fields as P
+from sablelens.operators.durable import kept
 
 #: Fixed value: suffixes that hold TIFF data whatever their vendor.
 TIFF_SUFFIXES = ("tif", "tiff", "svs", "ndpi", "bif", "scn", "vms")
@@ -17,29 +18,58 @@ TIFF_SUFFIXES = ("tif", "tiff", "svs", "ndpi", "bif", "scn", "vms")
 
 def open_file(path: str):
     """A seekable file by URI or plain path, in any store that Arrow knows."""
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
-    store, place = pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+    store, place = store_of(path)
     return store.open_input_file(place)
 
 
-def list_files(spark: SparkSession, root: str, format_filter: str | None = None) -> DataFrame:
-    """path, dir, name, stem, ext, length, modification_time of the files below root whose suffix is known, without reading any.
+def store_of(path: str):
+    """The store of a URI or plain path, and the place in it. Plain paths are taken as they are, whatever they hold."""
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    if path.startswith("file://"):
+        return pafs.LocalFileSystem(), path.removeprefix("file://")
+    return pafs.FileSystem.from_uri(path)
+
+
+ENTRIES = "path string, folder boolean, length long, modification_time timestamp, error string"
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies in each folder; one that can't be listed is a row with its error."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+    for batch in batches:
+        for root in batch["path"]:
+            store, place = store_of(root)
+            lead = root.removesuffix(place) if root.endswith(place) else root.split("://")[0] + "://"
+            try:
+                info = store.get_file_info(place)
+                found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(place, recursive=False))
+                rows = [(lead + i.path, i.type == pafs.FileType.Directory, None if i.size is None else int(i.size), i.mtime, None) for i in found]
+            except OSError as why:
+                rows = [(root, False, None, None, str(why))]
+            for k in range(0, len(rows), 10_000):
+                frame = pd.DataFrame(rows[k : k + 10_000], columns=names).astype({"length": object, "folder": bool})
+                yield frame.assign(modification_time=pd.to_datetime(frame["modification_time"], utc=True))
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """ENTRIES of all files below root, empty ones too, or of root if it is a file. Executors list the folders, level by level."""
+    level, out = spark.createDataFrame([(root.removeprefix("file://").rstrip("/") or "/",)], "path string"), None
+    while True:
+        listed = kept(level.mapInPandas(_entries, ENTRIES))
+        out = listed if out is None else out.unionByName(listed)
+        level = listed.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+        if level.isEmpty():
+            return out.where("NOT folder").drop("folder")
+
+
+def list_files(listing: DataFrame, format_filter: str | None = None) -> DataFrame:
+    """path, dir, name, stem, ext, length, modification_time of the files of a listing (see walk) whose suffix is known, without reading any.
 
     format_filter is one of the formats; an unknown one filters nothing.
     """
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = source.select("path", "length", F.col("modificationTime").alias("modification_time"))
-    # Spark makes no rows of empty files, though it lists them; a slide that is empty must be reported all the same.
-    listed = spark.createDataFrame([(p,) for p in source.inputFiles()], "path string")
-    same = lambda c: F.regexp_replace(c, "^file:(//)?(?=/)", "")
-    empty = listed.join(found.select(same("path").alias("_p")), same("path") == F.col("_p"), "left_anti")
-    found = found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time")))
-    # Paths come as URIs, with special characters escaped.
-    plain = F.regexp_replace(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?(?=/)", "")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    out = found.withColumn("path", plain).withColumn("name", name).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-    out = out.withColumn("stem", P.stem(F.col("name"))).withColumn("ext", P.extension(F.col("name")))
+    found = listing.where("error IS NULL").withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
+    out = found.withColumn("stem", P.stem(F.col("name"))).withColumn("ext", P.extension(F.col("name")))
     wanted = P.EXTENSIONS.get((format_filter or "").lower(), tuple(e for exts in P.EXTENSIONS.values() for e in exts))
     return out.where(F.col("ext").isin(*wanted)).select("path", "dir", "name", "stem", "ext", "length", "modification_time")
 
@@ -93,10 +123,9 @@ def with_pieces(places: DataFrame, size: int) -> DataFrame:
     return places.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in places.dtypes) + ", head binary")
 
 
-def data_files(spark: SparkSession, slides: DataFrame, root: str) -> DataFrame:
+def data_files(listing: DataFrame, slides: DataFrame) -> DataFrame:
     """path, file, name, length: all files in the folders named as the slides (path)."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    every = every.select(F.regexp_replace(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?(?=/)", "").alias("file"), "length")
+    every = listing.where("error IS NULL").select(F.col("path").alias("file"), "length")
     every = every.withColumn("_dir", F.regexp_replace("file", "/[^/]*$", "")).withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
     return slides.select("path", F.regexp_replace("path", r"\.[^./]*$", "").alias("_dir")).join(every, "_dir").select("path", "file", "name", "length")
 
@@ -107,22 +136,25 @@ def is_tiff(head: Column) -> Column:
     return h.rlike("^(49492A00|4D4D002A|49492B000800|4D4D002B0008)")
 
 
-def detected(files: DataFrame) -> DataFrame:
-    """files with format: the first that claims a file by suffix and, for some, by its first bytes; unknown for none."""
-    ext = F.col("ext")
-    kind = P.first_of(
+def claimed_by(ext: Column, head: Column) -> Column:
+    """The first format that claims a file by suffix and, for some, by its first 132 bytes; unknown for none."""
+    return P.first_of(
         [
             (ext == "ndpi", F.lit("ndpi")),
             (ext == "svs", F.lit("svs")),
             (ext == "mrxs", F.lit("mrxs")),
-            ((ext == "bif") & is_tiff(F.col("head")), F.lit("bif")),
-            ((ext == "scn") & is_tiff(F.col("head")), F.lit("scn")),
-            (ext.isin("dcm", "dicom") & (F.hex(F.substring(F.col("head"), 129, 4)) == "4449434D"), F.lit("dicom")),
-            (ext.isin(*TIFF_SUFFIXES) & F.hex(F.substring(F.col("head"), 1, 4)).rlike("^(49492[AB]00|4D4D002[AB])"), F.lit("tiff")),
+            ((ext == "bif") & is_tiff(head), F.lit("bif")),
+            ((ext == "scn") & is_tiff(head), F.lit("scn")),
+            (ext.isin("dcm", "dicom") & (F.hex(F.substring(head, 129, 4)) == "4449434D"), F.lit("dicom")),
+            (ext.isin(*TIFF_SUFFIXES) & F.hex(F.substring(head, 1, 4)).rlike("^(49492[AB]00|4D4D002[AB])"), F.lit("tiff")),
         ],
         F.lit("unknown"),
     )
-    return with_heads(files, 132).withColumn("format", kind).drop("head")
+
+
+def detected(files: DataFrame) -> DataFrame:
+    """files with format, see claimed_by."""
+    return with_heads(files, 132).withColumn("format", claimed_by(F.col("ext"), F.col("head"))).drop("head")
 
 
 def handler(format_column: str = "format") -> Column:
@@ -130,10 +162,9 @@ def handler(format_column: str = "format") -> Column:
     return F.when(F.col(format_column) == "unknown", "tiff").otherwise(F.col(format_column))
 
 
-def companions(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+def companions(listing: DataFrame, files: DataFrame) -> DataFrame:
     """path, companion: .ndpa and .ndpis files beside an NDPI file, by equal stem or stem and underscore."""
-    others = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    others = others.withColumn("companion", F.regexp_replace("path", "^file:(//)?(?=/)", "")).withColumn("ext", P.extension(F.col("path"))).where(F.col("ext").isin("ndpa", "ndpis"))
+    others = listing.where("error IS NULL").select(F.col("path").alias("companion"), P.extension(F.col("path")).alias("ext")).where(F.col("ext").isin("ndpa", "ndpis"))
     others = others.select("companion", "ext", F.regexp_replace("companion", "/[^/]*$", "").alias("dir"), P.stem(F.col("companion")).alias("_stem"))
     slides = files.where("ext = 'ndpi'").select("path", "dir", "stem")
     same = slides.join(others, "dir").where((F.col("_stem") == F.col("stem")) | (F.col("ext") == "ndpa") & F.col("_stem").startswith(F.concat("stem", F.lit("_"))))

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sablelens.plans.catalogue import ORACLE_SQL, QUERIES
+from sablelens.plans.containers import ORACLE_SQL, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sablelens.operators.levels import pyramid
 from sablelens.operators.recheck import recheck
 from sablelens.sources.datasource import register
-from sablelens.sources.files import list_files
+from sablelens.sources.files import list_files, walk
 from sablelens.sources.tiff import read_tags
 from sablelens.streaming.landing import watch
 from tests.builders import text, tiff
@@ -41,7 +41,7 @@ def test_damaged_files(spark, tmp_path):
     }
     for name, content in cases.items():
         (tmp_path / f"{name}.tif").write_bytes(content)
-    rows = read_tags(list_files(spark, str(tmp_path))).collect()
+    rows = read_tags(list_files(walk(spark, str(tmp_path)))).collect()
     by = {}
     for r in rows:
         by.setdefault(r["path"].rsplit("/", 1)[1][:-4], []).append(r)
@@ -65,12 +65,12 @@ def test_second_look(spark, tmp_path):
     (tmp_path / "a.svs").write_bytes(tiff([[text(270, "macro AS-24-123456 AS-24-123456"), (273, 4, 1, 8), (279, 4, 1, 4), text(700, "<x/>", 7)]]))
     (tmp_path / "b.svs").write_bytes(tiff([[(256, 3, 1, 7)]]))
     (tmp_path / "c.svs").write_bytes(b"junk")
-    got = sorted((r["path"][-5:], r["kind"], r["detail"]) for r in recheck(list_files(spark, str(tmp_path))).collect())
+    got = sorted((r["path"][-5:], r["kind"], r["detail"]) for r in recheck(list_files(walk(spark, str(tmp_path)))).collect())
     assert got == [("a.svs", "BINARY TAG", "Tag_700: 5 bytes"), ("a.svs", "IMAGE DATA", "MacroImage"), ("a.svs", "PATTERN", "Accession_AS: AS-24-123456"), ("c.svs", "ERROR", "not a valid TIFF file")]
 
 
 def test_pyramid(spark, tmp_path):
     level = lambda w, h, *more: [(256, 3, 1, w), (257, 3, 1, h), *more]
     (tmp_path / "a.svs").write_bytes(tiff([level(4000, 2000, text(270, "x|MPP = 0.5|y")), level(300, 400), level(1000, 500)]))
-    got = pyramid(read_tags(list_files(spark, str(tmp_path)))).orderBy("level").select("level", "width", "downsample", F.round("pixels_per_cm", 1)).collect()
+    got = pyramid(read_tags(list_files(walk(spark, str(tmp_path))))).orderBy("level").select("level", "width", "downsample", F.round("pixels_per_cm", 1)).collect()
     assert [tuple(r) for r in got] == [(0, 4000, 1.0, 20000.0), (1, 1000, 4.0, 5000.0)]
