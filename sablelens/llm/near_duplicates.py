@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 7, 0.999
 #: Members and words of a block, about.
 BLOCK, BLOCK_WORDS = 256, 1 << 18
-#: Most keys of 8 bytes that are broadcast to pick the texts of clusters; more are joined by a shuffle of all texts.
+#: Most keys of 8 bytes that are broadcast to pick the texts of clusters, or the rows that go; more are joined by a shuffle of all texts.
 BROADCAST_KEYS = 1 << 21
 #: Bytes that are hashed at a time.
 WINDOW = 1 << 18
@@ -308,8 +308,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = rows.select("_key", F.col(f"_row.`{text}`").alias("_text"))
     signed = saved(texts.mapInArrow(_signatures(trees, depth), "_key long, _class binary, n_words long, _labels binary"), "op4-signed")
     worded = signed.where("n_words > 0")
-    classes = saved(worded.groupBy("_class").agg(F.min("_key").alias("node"), F.count("*").alias("weight"), F.first("n_words").alias("n_words")), "op4-classes")
-    nodes = saved(classes.join(signed.select("_key", "_labels"), F.col("node") == F.col("_key")).select("node", "weight", "n_words", "_labels"), "op4-nodes")
+    # Labels and numbers of words are the same in all of a class.
+    classes = worded.groupBy("_class").agg(F.min("_key").alias("node"), F.count("*").alias("weight"), F.first("n_words").alias("n_words"), F.first("_labels").alias("_labels"))
+    classes = saved(classes, "op4-classes")
+    nodes = classes.select("node", "weight", "n_words", "_labels")
     at = depth
     while True:
         found = _round(texts, nodes, trees, depth, at, similarity)
@@ -319,11 +321,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             break
         at -= 1
         release(found)
-    release(nodes)
     links = found.where("kind = 0").select("a", "b")
     groups = components(links, "op4-groups")
     counts = saved(found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "op4-counts")
-    done = classes.join(groups, "node", "left").join(counts, "node", "left")
+    done = classes.select("_class", "node", "weight").join(groups, "node", "left").join(counts, "node", "left")
     done = saved(done.select("_class", F.coalesce("component", "node").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links")), "op4-done")
     ids = rows.select("_key", F.col(f"_row.`{doc_id}`").alias("doc_id"))
     keyed = saved(worded.select("_key", "_class").join(done, "_class"), "op4-keyed")
@@ -386,5 +387,7 @@ def without_near_duplicates(near: Near) -> DataFrame:
 
     Texts without words are classes of their own and all stay; an empty input gives an empty result.
     """
-    kept = near.firsts.select(F.col("_key").alias("_kept"))
-    return near.rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select("_row.*")
+    firsts = near.firsts.select("class_key", F.col("_key").alias("_first"))
+    gone = saved(near.members.join(firsts, "class_key").where("_key <> _first").select(F.col("_key").alias("_gone")), "op4-gone")
+    # The rows that go are the fewer; only with many of them are all rows dealt out.
+    return near.rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
