@@ -83,8 +83,8 @@ class Model:
         rows = [r[r >= 0] for r in rows]
         sizes = np.array([len(r) for r in rows])
         flat = np.concatenate([*rows, np.zeros(1, np.int64)])  # reduceat needs a row at every start
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        sums = np.add.reduceat(self.weights[flat], starts, axis=0) if len(rows) else np.zeros((0, len(self.labels)))
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        sums = np.add.reduceat(self.weights[flat], starts, axis=0)[:-1]  # the last start is that of the row added
         sums[sizes == 0] = 0
         return sums / np.sqrt([max(1, len(g)) for g in grams])[:, None] + self.bias
 

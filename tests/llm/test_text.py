@@ -251,9 +251,9 @@ def test_language_id(make, odd):
     assert lang.identify(make([(1, "no label", None)])).first()["lang_pred"] == "und"
 
 
-def test_kernel_is_presence_of_ngrams():
+def test_kernel_counts_no_repeats():
     grams = lang.Grams()
-    assert grams.of("abc").tolist() == grams.of("ABC!").tolist() or set(grams.of("abc")) < set(grams.of("ABC!"))
+    assert set(grams.of("abc")) < set(grams.of("ABC!"))
     assert grams.of("abab abab").tolist() == grams.of("abab abab abab").tolist() and grams.of("12 !") is None and grams.of(None) is None
 
 
