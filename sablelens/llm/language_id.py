@@ -190,6 +190,8 @@ def _predict(model: Model | None):
                 best = d.argmax(axis=1)
                 for i, k, chance, row in zip(real, best, scores(d), d, strict=True):
                     langs[i], chances[i], evidence[i] = model.labels[k], float(chance[k]), float(row[k] - model.bias[k])
+                    if len(model.labels) == 1:  # nothing to tell it from: the share of n-grams that any landmark has
+                        evidence[i] = float((model.column[found[i]] >= 0).mean())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(langs, pa.string()), pa.array(chances, pa.float64()), pa.array(evidence, pa.float64())], names=["_row", "lang_pred", "score", "evidence"])
 
     return run
@@ -199,7 +201,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     """The columns `keep` of docs (all by default) and three more, lang_pred, score and evidence, in place of any so named.
 
     score compares the best language with the others; evidence is what the text's n-grams add to the best one's own decision, 0 for a
-    text that shares none with the landmarks, however many languages there are. A text that is null or has no
+    text that shares none with the landmarks, however many languages there are (of a single one it is the share of n-grams known). A text that is null or has no
     letter is `und` with score and evidence 0, as is every text where nothing was learned. Null ids and repeated rows are
     rows like others; an empty table gives an empty result.
     """
