@@ -114,3 +114,10 @@ def test_reports(spark):
     assert G.measures(results.where("cleared = 0")).count() == 3
     assert G.batch_stats(results.limit(0)).first()["total"] == 0
     assert G.space_needed(spark.createDataFrame([(95,)], "length long"), 100).first()["space"] == "warning"
+
+
+def test_svs_date_that_means_removed_is_a_date_beside_fields_that_identify(spark):
+    found = lambda text: [f["key"] for f in one(spark, text, P.svs_dated_findings)]
+    assert found("L|Filename = a|Date = 01/01/00|Time = 00:00:00|User = ") == ["Filename", "Date"]
+    assert found("L|Filename = X|Date = 01/01/00|Time = 00:00:00|User = ") == []
+    assert found("L|A = 1|Date = 01/01/00") == []
