@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
+from sablelens.functions import rules as R
+from sablelens.operators import anonymize as A
+from sablelens.operators import scan as N
 from sablelens.operators.levels import pyramid
 from sablelens.operators.recheck import recheck
+from sablelens.operators.sink import patched_contents
+from sablelens.plans import containers
+from sablelens.sources import tiff as tiff_source
 from sablelens.sources.datasource import register
+from sablelens.sources.dicom import ELEMENTS, element_rows
 from sablelens.sources.files import list_files, walk
 from sablelens.sources.tiff import read_tags
 from sablelens.streaming.landing import watch
@@ -74,3 +83,41 @@ def test_pyramid(spark, tmp_path):
     (tmp_path / "a.svs").write_bytes(tiff([level(4000, 2000, text(270, "x|MPP = 0.5|y")), level(300, 400), level(1000, 500)]))
     got = pyramid(read_tags(list_files(walk(spark, str(tmp_path))))).orderBy("level").select("level", "width", "downsample", F.round("pixels_per_cm", 1)).collect()
     assert [tuple(r) for r in got] == [(0, 4000, 1.0, 20000.0), (1, 1000, 4.0, 5000.0)]
+
+
+def test_svs_scanned_on_the_date_that_means_removed_is_found_and_cleaned(spark):
+    raw = tiff([[(256, 3, 1, 9), text(270, "L|Filename = AS-24-123456|Date = 01/01/00|Time = 00:00:00")]])
+    files = spark.createDataFrame([("a", "svs", raw)], "path string, format string, content binary")
+
+    def found(files):
+        structure = tiff_source.decode_structure(files, "path", "content")
+        heads = files.selectExpr("path", "content AS head")
+        args = files, tiff_source.as_tags(structure), tiff_source.as_segments(structure), R.RuleSet(), heads
+        return args, sorted(r.tag_name for r in N.scan_tiffs(*args).where("source = 'tiff_tag'").collect())
+
+    args, before = found(files)
+    assert before == ["SVS:Tag270:Date", "SVS:Tag270:Filename"]
+    after = patched_contents(files, A.tiff_patches(*args)).selectExpr("path", "'svs' AS format", "content")
+    assert found(after)[1] == []
+
+
+def test_container_files_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    spark.range(10).selectExpr("id AS o_orderkey", "0L AS o_custkey", "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1).selectExpr("id AS c_custkey", "'n' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(containers, "FILES_A_TASK", 3)
+    files = containers._files(spark, str(tmp_path), lambda r: b"x", "'svs'")
+    assert files.rdd.getNumPartitions() == 4 and files.count() == 10
+
+
+def test_dicom_patches_read_nested_elements_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def nested(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch.assign(length=2, payload=b"")
+
+    rows = element_rows("0", containers._dicom(SimpleNamespace(slide_id=1, done=False, code="AS-24-123456", person="p")))
+    elements = spark.createDataFrame(rows, ELEMENTS)
+    patches = A.dicom_patches(elements, spark.range(1).selectExpr("CAST(id AS STRING) AS path", "9L AS offset").mapInPandas(nested, "path string, offset long, length long, payload binary"))
+    assert patches.where("offset = 9").count() == 1 and read.value == 1
