@@ -5,34 +5,43 @@ other than the article: strongly by their names (menus, footers, asides, scripts
 stand around an article) or weakly (a word of their class or id, a role). Blocks inside an article or main element are sure, as far
 as nothing between the two is other; articles under nothing that is other come first, then those that only weak elements
 hold, then those that forms or headers hold, so that no mark on an article's surroundings loses it. The other blocks of a host's
-pages that nothing rules out are unsure: their words, page behind page, form
-one stream, whose suffixes are sorted by prefix doubling. A run of at least RUN words that occurs on at
-least PAGES distinct pages of the host is boilerplate; the words that such runs cover are removed, unique runs stay.
+pages that nothing rules out are unsure.
+
+All words of every page that nothing rules out, sure or not, page behind page, form the host's stream, whose suffixes are sorted
+by prefix doubling. A run of at least RUN words that occurs on at least PAGES distinct pages of the host is repeated. Repeated words
+go from unsure blocks of pages without sure ones, and from what stands in a main element beside its articles; of several articles on a page, those that consist of
+repeated words alone go (teasers), but the longest stays. An article loses no part of itself: articles quote and share lines.
 Pages of equal words are one page, however many rows or addresses they have: copies are no evidence against themselves.
 
-Pages of a host are dealt by a hash into bundles of some BUNDLE pages, so that a host with a third of all pages
-is many tasks' work and none holds more than a bundle; equal pages are worked on once. A bundle's suffix array only counts the
-distinct pages of each run; the counts are summed over the host by the words of the run themselves, and the runs that are
-repeated go back to the bundles that hold them. BUNDLE thus bounds memory and decides no result.
+Pages are parsed once and kept, and none is dealt out: each task sorts the suffixes of its own pages, host by host, in pieces of some BUNDLE pages. What a piece
+finds on PAGES pages is repeated. Of its other runs it sends hashes, short ones with their counts, to tasks that each have a range
+of a host's hashes; those whose counts reach PAGES may be repeated, and their pages are looked for again and counted by
+64-bit hashes of the runs and 128-bit ones of the pages. BUNDLE thus bounds memory and decides no result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablelens.llm.common import bounded_batches, lean, partitions, saved
+from sablelens.llm.common import bounded_batches, lean, partitions, release, saved
 
-RUN, PAGES, BUNDLE = 6, 3, 64
-#: Most rows (a host with undecided pages and a number) that are broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+RUN, PAGES, BUNDLE = 6, 3, 4096
+#: Most code points of a piece.
+PIECE = 8 << 20
+#: Hosts of which the number of pages is told to tasks; smaller ones count as having the last one's.
+HOSTS, SMALL_HOST = 100_000, 64
+#: Packed bytes of hashes that tasks are told at once; of more, some hosts at a time.
+TOLD = 32 << 20
 # Element names of HTML by their part in a page.
 STRONG = frozenset("head nav footer aside menu dialog template button select svg math canvas object audio video label option fieldset".split())
 SOFT = frozenset(("form", "header"))
@@ -115,13 +124,14 @@ class _Tree:
     """The open elements of a page, and its blocks with what their elements say of them."""
 
     def __init__(self):
-        #: Name, level of it and of all around it, and a bit for each of the levels up to SOFTLY at which it is in an article.
-        self.stack: list[tuple[str, int, int]] = [("", NONE, 0)]
+        #: Name, level of it and of all around it, a bit for each of the levels up to SOFTLY at which it is in an article, and the number of the outermost article element.
+        self.stack: list[tuple[str, int, int, int]] = [("", NONE, 0, 0)]
+        self.articles = 0
         self.where: dict[str, list[int]] = {}
         self.block: list[int] = []  # places in the stack of elements that aren't inline
         self.sure: list[int] = []  # those of articles
         self.text: list[str] = []
-        self.blocks: list[tuple[int, int, str]] = []
+        self.blocks: list[tuple[int, int, int, str]] = []
 
     def add(self, text: str) -> None:
         if self.stack[-1][1] != STRONGLY:
@@ -135,7 +145,7 @@ class _Tree:
                 self.blocks.append((*self.stack[-1][1:], words))
 
     def open(self, name: str, level: int) -> None:
-        _, above, inside = self.stack[-1]
+        _, above, inside, article = self.stack[-1]
         around = max(above, level)
         own = level == SOFTLY and name == "header"  # of the article itself
         bits = inside if level == NONE or own else 0
@@ -146,7 +156,10 @@ class _Tree:
             self.block.append(len(self.stack))
         if name in SURE:
             self.sure.append(len(self.stack))
-        self.stack.append((name, around, bits))
+        if name == "article" and not article:
+            self.articles += 1
+            article = self.articles
+        self.stack.append((name, around, bits, article))
 
     def close(self, place: int) -> None:
         while len(self.stack) > place:
@@ -169,7 +182,12 @@ class _Tree:
 
 
 def blocks(page: str | None) -> list[tuple[bool, str]]:
-    """The blocks of a page that markup doesn't rule out, in order: whether it is sure, and its text. Takes time in proportion to the page."""
+    """The blocks of a page that markup doesn't rule out, in order: whether it is sure, and its text."""
+    return [(sure, words) for sure, _, words in parts(page)]
+
+
+def parts(page: str | None) -> list[tuple[bool, int, str]]:
+    """The blocks with the number of the article element that holds them, 0 for none. Takes time in proportion to the page."""
     page, at, tree = page or "", 0, _Tree()
     while at < len(page):
         begin = page.find("<", at)
@@ -222,9 +240,9 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
             tree.start(name, level)
     tree.flush()
     for most in (NONE, WEAK, SOFTLY):
-        if any(inside >> most & 1 for _, inside, _ in tree.blocks):
-            return [(bool(inside >> most & 1), words) for around, inside, words in tree.blocks if inside >> most & 1 or around == NONE]
-    return [(False, words) for around, _, words in tree.blocks if around == NONE]
+        if any(inside >> most & 1 for _, inside, _, _ in tree.blocks):
+            return [(bool(inside >> most & 1), article, words) for around, inside, article, words in tree.blocks if inside >> most & 1 or around == NONE]
+    return [(False, article, words) for around, _, article, words in tree.blocks if around == NONE]
 
 
 def _runs(streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,16 +260,16 @@ def _runs(streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, n
     rank = np.array([names.setdefault(w, len(names) + 1) for s in streams for w in s], np.int64)
     ends = np.repeat(np.cumsum(sizes), sizes)
     place, length = np.arange(len(rank)), 1
-    whole = rank
+    whole, order = rank, np.argsort(rank, kind="stable")
     while length < run:
         step = min(length, run - length)
         later = np.where(place + step < ends, np.concatenate([whole[step:], np.zeros(min(step, len(whole)), np.int64)])[: len(whole)], 0)
-        _, whole = np.unique(whole * (int(whole.max()) + 2) + later + 1 if length == step else _pair(whole, later), return_inverse=True)
-        whole = whole + 1
+        pair = whole * (int(whole.max()) + 2) + later + 1
+        order = np.argsort(pair, kind="stable")
+        whole = np.empty(len(pair), np.int64)
+        whole[order] = np.cumsum(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
         length += step
-    full = place + run <= ends
-    suffixes = np.flatnonzero(full)
-    order = suffixes[np.lexsort((owner[suffixes], whole[suffixes]))]
+    order = order[(place + run <= ends)[order]]  # of equal ranks, page by page
     if not len(order):
         return none, none, none
     group = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
@@ -279,128 +297,308 @@ def repeated_words(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
     return np.split(_covered(int(sizes.sum()), hit, run), np.cumsum(sizes)[:-1])
 
 
-def run_pages(streams: list[list[str]], run: int, least: int = 1) -> tuple[list[str], list[int]]:
-    """The distinct runs of `run` words that are found on at least `least` of the pages, and on how many."""
-    order, number, distinct = _runs(streams, run)
-    if not len(order):
-        return [], []
-    words = [w for s in streams for w in s]
-    kept = distinct >= least
-    first = order[np.concatenate([[True], number[1:] != number[:-1]])][kept]
-    return [" ".join(words[a : a + run]) for a in first.tolist()], distinct[kept].tolist()
+NO_HASHES = np.zeros(0, np.uint64)
+BASE = 0x9E3779B97F4A7C13
+#: A number for each byte.
+BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=8).digest() for k in range(256)), "<u8").astype(np.uint64)
+#: Code points that are hashed at once; longer words count as their hashes.
+AT_ONCE, LONG = 1 << 18, 1 << 16
+LONG_WORD = re.compile(rf"[^ ]{{{LONG},}}")
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE from the 0th, and their inverses modulo 2^64."""
+    made = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        some = np.full(n, base, np.uint64)
+        some[0] = 1
+        made.append(np.cumprod(some, dtype=np.uint64))
+    return tuple(made)
+
+
+def _hashes_of(data: bytes, run: int, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    text = np.frombuffer(data, np.uint8)
+    gaps = np.flatnonzero((text == 32) | (text == 10))
+    begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(text)]])
+    owner = np.concatenate([[0], np.cumsum(text[gaps] == 10)])
+    at = np.flatnonzero(owner[run - 1 :] == owner[: max(0, len(owner) - run + 1)])
+    powers, inverses = _powers(1 << (len(text)).bit_length())
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(BYTES[text] * powers[: len(text)], out=sums[1:])
+    out = (sums[end[at + run - 1]] - sums[begin[at]]) * inverses[begin[at]]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32)), np.bincount(owner[at], minlength=pages)
+
+
+def _pieces(stream: str, run: int) -> Iterator[str]:
+    """A page's words in pieces of some AT_ONCE code points, which overlap so that each run is in one."""
+    words, at = stream.split(" "), 0
+    while not at or at + run <= len(words):
+        stop = size = 0
+        for stop in range(at, len(words)):
+            size += len(words[stop]) + 1
+            if size >= AT_ONCE:
+                break
+        yield " ".join(words[at : stop + run])
+        at = stop + 1
+
+
+def run_hashes(streams: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the runs of `run` words of each page's words, at each place that has one, page after page, and how many each page has."""
+    found, n, part, size = [NO_HASHES], [np.zeros(0, np.int64)], [], 0
+
+    def add(texts: list[str]) -> np.ndarray:
+        hashes, some = _hashes_of("\n".join(texts).encode("utf-8", "surrogatepass"), run, len(texts))
+        found.append(hashes)
+        return some
+
+    for stream in streams:
+        if len(stream) > LONG:
+            stream = LONG_WORD.sub(lambda m: hashlib.blake2b(m[0].encode("utf-8", "surrogatepass")).hexdigest(), stream)
+        if part and size + len(stream) > AT_ONCE:
+            n.append(add(part))
+            part, size = [], 0
+        if len(stream) > AT_ONCE:
+            n.append(np.array([sum(int(add([x])[0]) for x in _pieces(stream, run))]))
+        else:
+            part.append(stream)
+            size += len(stream)
+    if part:
+        n.append(add(part))
+    return np.concatenate(found), np.concatenate(n)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a * (int(b.max()) + 2) + b
+def packed(values: np.ndarray) -> bytes:
+    """Ascending numbers as bytes: their differences, byte by byte of their width, compressed."""
+    if not len(values):
+        return b""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(values), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-KIND = pa.list_(pa.struct([("sure", pa.bool_()), ("text", pa.string())]))
-BLOCKS = "array<struct<sure:boolean,text:string>>"
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return NO_HASHES
+    n, width = struct.unpack_from("<QB", data)
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the hosts in a batch the number of pages, and whether any has words but nothing sure."""
-    for batch in batches:
-        n: dict[str, int] = {}
-        unsure: dict[str, bool] = {}
-        for host, page in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-            made = blocks(page)
-            n[host] = n.get(host, 0) + 1
-            unsure[host] = unsure.get(host, False) or bool(made) and not any(s for s, _ in made)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(unsure.values()), pa.bool_())], names=["_host", "_n", "_unsure"])
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among some ascending ones."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _bits(pages: int) -> tuple[int, int]:
+    """Of a host with so many pages: the bits of a hash that give its range, and the bits of it that are sent, those included."""
+    ranges = max(min(-(-pages // 64), 64), -(-pages // 4096))
+    return (ranges - 1).bit_length(), min(48, max(24, (pages - 1).bit_length() + 18))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to their blocks, a line each: s if sure or else u, its article's number, its text."""
     for batch in batches:
-        made = [[{"sure": s, "text": t} for s, t in blocks(h)] for h in batch.column("_html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "url", "_host", "_n")), pa.array(made, KIND)], names=["_id", "url", "_host", "_n", "_blocks"])
+        made = ["\n".join(f"{'s' if sure else 'u'}{article} {text}" for sure, article, text in parts(page)) for page in batch.column("_html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "url", "_host")), pa.array(made, pa.string())], names=["_id", "url", "_host", "_blocks"])
 
 
-def _sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages of hosts that have no undecided page."""
-    for batch in batches:
-        texts = [" ".join(t for s, t in blocks(h) if s) for h in batch.column("_html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("url"), pa.array(texts, pa.string())], names=["_id", "url", "text"])
+def _read(lines: str) -> list[tuple[bool, int, str]]:
+    made = (line.split(" ", 1) for line in lines.split("\n") if line)
+    return [(mark[0] == "s", int(mark[1:]), text) for mark, text in made]
 
 
-def _unrepeated(words: list[str], flags: np.ndarray, run: int) -> list[str]:
-    """A block's words without those in repeats; a repeat that only reaches into the block with fewer than `run` words takes none."""
-    if flags.all():
-        return []
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    gone = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= run]
-    return [w for i, w in enumerate(words) if not any(a <= i < b for a, b in gone)] if gone else words
+def _stream(made: list[tuple[bool, int, str]]) -> str:
+    """All words that markup doesn't rule out: those beside a page's article aren't output, but are evidence for other pages."""
+    return " ".join(text for _, _, text in made)
+
+
+def _sorted_runs(pages: dict[str, None], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct runs of some distinct pages, and on how many of them each is."""
+    streams = [s.split(" ") for s in pages]
+    order, number, distinct = _runs(streams, run)
+    if not len(order):
+        return NO_HASHES, np.zeros(0, np.int64)
+    first = order[np.concatenate([[True], number[1:] != number[:-1]])]
+    hashes, n = run_hashes(list(pages), run)
+    sizes = np.array([len(s) for s in streams])
+    # Pages of `run` words or more have run - 1 places without a run before the next page.
+    before = np.cumsum(sizes - n) - (sizes - n)
+    return hashes[first - np.repeat(before, sizes)[first]], distinct
+
+
+def _count(run: int, repeats: int, bundle: int, sizes: dict[str, int], rest: int):
+    """Pages to the hashes of their runs by host and range: for each number of pages below `repeats` the bits that are sent of those on so many, and whole those on more."""
+
+    def finished(piece: dict[str, dict[str, None]]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, list, list] = ([], [], [])
+        for host, pages in piece.items():
+            hashes, n = _sorted_runs(pages, run)
+            by, sent = _bits(sizes.get(host, rest))
+            order = np.argsort(hashes)
+            hashes, n = hashes[order], np.minimum(n[order], repeats)
+            edges = np.searchsorted(hashes, np.arange(1, 1 << by, dtype=np.uint64) << np.uint64(64 - by)) if by else np.zeros(0, np.int64)
+            for k, (part, m) in enumerate(zip(np.split(hashes, edges), np.split(n, edges), strict=True)):
+                if len(part):
+                    lists = [np.sort((part[m == c] << np.uint64(by)) >> np.uint64(64 - sent + by)) for c in range(1, repeats)]
+                    for column, value in zip(rows, (host, k, [packed(x) for x in (*lists, part[m == repeats])]), strict=True):
+                        column.append(value)
+            if len(rows[0]) >= 1000:
+                yield batch_of(rows)
+                rows = ([], [], [])
+        if rows[0]:
+            yield batch_of(rows)
+
+    def batch_of(rows: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.binary()))], names=["_host", "_range", "_lists"])
 
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece: dict[str, dict[str, None]] = {}  # the distinct pages of each host
+        n = size = 0
+        for batch in batches:
+            for host, lines in zip(batch.column("_host").to_pylist(), batch.column("_blocks").to_pylist(), strict=True):
+                stream, seen = _stream(_read(lines)), piece.setdefault(host, {})
+                if stream and stream not in seen:
+                    seen[stream] = None
+                    n, size = n + 1, size + len(stream)
+                    if n >= bundle or size >= PIECE:
+                        yield from finished(piece)
+                        piece, n, size = {}, 0, 0
+        yield from finished(piece)
 
-def _kept(made: list[dict]) -> list[dict]:
-    """Where a page says what its article is, the rest is not in it."""
-    return [b for b in made if b["sure"]] or made
+    return run_
 
 
-def _stream(made: list[dict]) -> list[str]:
-    """All words that markup doesn't rule out: those beside a page's article aren't output, but are evidence for other pages."""
-    return [w for b in made for w in b["text"].split(" ")]
+def _total(repeats: int):
+    """Rows sorted by host and range to the bits sent of hashes whose counts reach `repeats`, and the whole hashes that did in a piece."""
 
+    def finished(at: tuple, lists: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        few = np.sort(np.concatenate([NO_HASHES, *(unpacked(x[c - 1]) for x in lists for c in range(1, repeats) for _ in range(c))]))
+        maybe = np.unique(few[repeats - 1 :][few[repeats - 1 :] == few[: len(few) - repeats + 1]])
+        known = np.unique(np.concatenate([NO_HASHES, *(unpacked(x[-1]) for x in lists)]))
+        if len(maybe) or len(known):
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([packed(maybe)], pa.binary()), pa.array([packed(known)], pa.binary())], names=["_host", "_range", "_maybe", "_known"])
 
-def _count(run: int, pages: int):
-    """Rows sorted by bundle to its distinct runs, each with the number of the bundle's pages that hold it."""
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lists = None, []
+        for batch in batches:
+            for host, k, some in zip(*(batch.column(c).to_pylist() for c in ("_host", "_range", "_lists")), strict=True):
+                if lists and (host, k) != at:
+                    yield from finished(at, lists)
+                    lists = []
+                at = (host, k)
+                lists.append(some)
+        if lists:
+            yield from finished(at, lists)
 
-    def finished(at: tuple, streams: list[list[str]]) -> Iterator[pa.RecordBatch]:
-        host, number, whole = at
-        # Where the bundle is the host, what is on fewer pages stays so.
-        found, n = run_pages(streams, run, pages if whole else 1)
-        for k in range(0, len(found), 10_000):
-            part = found[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array([number] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array(n[k : k + 10_000], pa.int64())], names=["_host", "_bundle", "_run", "_pages"])
+    return run_
+
+
+def _look(run: int, sizes: dict[str, int], rest: int, maybe: dict[str, list[tuple[int, bytes]]], known: dict[str, list[bytes]]):
+    """Pages to their runs of which the bits sent may be repeated and that aren't known to be: host, hash of the run, hash of the page's words."""
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, streams = None, {}  # the bundle's distinct pages
+        @lru_cache(maxsize=1000)
+        def told(host: str) -> tuple[int, np.ndarray, np.ndarray]:
+            by, sent = _bits(sizes.get(host, rest))
+            some = np.concatenate([unpacked(x) | np.uint64(k << (sent - by)) for k, x in sorted(maybe[host])])
+            return sent, some, _joined(known.get(host, []))
+
         for batch in batches:
-            for host, number, whole, made in zip(*(batch.column(c).to_pylist() for c in ("_host", "_bundle", "_whole", "_blocks")), strict=True):
-                if streams and (host, number, whole) != at:
-                    yield from finished(at, [s.split(" ") for s in streams if s])
-                    streams = {}
-                at = (host, number, whole)
-                streams[" ".join(_stream(made))] = None
-        if streams:
-            yield from finished(at, [s.split(" ") for s in streams if s])
+            for host, lines in _by_host(batch):
+                if host not in maybe:
+                    continue
+                sent, some, sure = told(host)
+                streams = list({_stream(_read(x)): None for x in lines})
+                hashes, n = run_hashes(streams, run)
+                at = np.flatnonzero(_among(hashes >> np.uint64(64 - sent), some))
+                at = at[~_among(hashes[at], sure)]
+                owner = np.repeat(np.arange(len(n)), n)[at]
+                digests = {k: hashlib.blake2b(streams[k].encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in np.unique(owner).tolist()}
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(at), pa.string()), pa.array(hashes[at].view(np.int64)), pa.array([digests[k] for k in owner.tolist()], pa.binary())], names=["_host", "_run", "_page"])
 
     return run_
 
 
-def _text(made: list[dict], repeated: set[str], run: int) -> str:
-    """A page's text: only unsure blocks lose words."""
-    kept = _kept(made)
-    if not kept or kept[0]["sure"] or not repeated:
-        return " ".join(b["text"] for b in kept)
-    words = _stream(made)
-    hit = [k for k in range(len(words) - run + 1) if " ".join(words[k : k + run]) in repeated]
-    flags = _covered(len(words), np.array(hit, np.int64), run)
-    at, parts = 0, []
-    for b in kept:
-        n = b["text"].count(" ") + 1
-        if left := _unrepeated(words[at : at + n], flags[at : at + n], run):
-            parts.append(" ".join(left))
-        at += n
-    return " ".join(parts)
+def _by_host(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    lines: dict[str, list[str]] = {}
+    for host, some in zip(batch.column("_host").to_pylist(), batch.column("_blocks").to_pylist(), strict=True):
+        lines.setdefault(host, []).append(some)
+    yield from lines.items()
 
 
-def _clean(run: int):
-    """Distinct pages sorted by bundle, its repeated runs first, to their texts."""
+def _joined(some: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([NO_HASHES, *map(unpacked, some)]))
 
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts and hashes to one row of packed hashes for each host of a task."""
+    found: dict[str, list[int]] = {}
+    for batch in batches:
+        for host, value in zip(batch.column("_host").to_pylist(), batch.column("_run").to_pylist(), strict=True):
+            found.setdefault(host, []).append(value)
+    if found:
+        data = [packed(np.sort(np.array(v, np.int64).view(np.uint64))) for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(data, pa.binary())], names=["_host", "_known"])
+
+
+def _unrepeated(words: list[str], flags: np.ndarray, run: int) -> list[str]:
+    """A block's words without those in repeats; a repeat that only reaches into the block with fewer than `run` words takes none."""
+    if flags.all():
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    gone = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= run]
+    kept = np.ones(len(words), bool)
+    for a, b in gone:
+        kept[a:b] = False
+    return [w for w, k in zip(words, kept.tolist(), strict=True) if k]
+
+
+def _text(made: list[tuple[bool, int, str]], hit: np.ndarray, run: int) -> str:
+    """A page's text, given the places of its words where a repeated run begins."""
+    marked = any(sure for sure, _, _ in made)
+    if not len(hit):
+        return " ".join(text for sure, _, text in made if sure or not marked)
+    flags = _covered(sum(text.count(" ") + 1 for _, _, text in made), hit, run)
+    ends = np.cumsum([text.count(" ") + 1 for _, _, text in made]).tolist()
+    blocks_ = [(sure, article, text, flags[a:b]) for (sure, article, text), a, b in zip(made, [0, *ends], ends, strict=False) if sure or not marked]
+    if not marked:
+        return " ".join(filter(None, (" ".join(_unrepeated(text.split(" "), f, run)) for _, _, text, f in blocks_)))
+    size: dict[int, int] = {}
+    own: dict[int, bool] = {}  # articles with words of their own
+    for _, article, _, f in blocks_:
+        if article:
+            size[article] = size.get(article, 0) + len(f)
+            own[article] = own.get(article, False) or not f.all()
+    if not size:
+        return " ".join(text for _, _, text, _ in blocks_)
+    own[max(size, key=size.get)] = True
+    out = []
+    for _, article, text, f in blocks_:
+        if own.get(article, not article):
+            out.append(text if article else " ".join(_unrepeated(text.split(" "), f, run)))
+    return " ".join(filter(None, out))
+
+
+def _texts(run: int, known: dict[str, list[bytes]]):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, repeated = None, set()
+        repeated = lru_cache(maxsize=1000)(lambda host: _joined(known.get(host, [])))
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for host, number, words, page, made in zip(*(batch.column(c).to_pylist() for c in ("_host", "_bundle", "_run", "_page", "_blocks")), strict=True):
-                if (host, number) != at:
-                    at, repeated = (host, number), set()
-                if words is not None:
-                    repeated.add(words)
-                    continue
-                for column, value in zip(out, (host, page, _text(made, repeated, run)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["_host", "_page", "text"])
+            texts: dict[str, Iterator[str]] = {}
+            for host, lines in _by_host(batch):
+                made = [_read(x) for x in lines]
+                hashes, n = run_hashes([_stream(x) for x in made], run)
+                hit, ends = np.flatnonzero(_among(hashes, repeated(host))), np.cumsum(n)
+                hits = np.split(hit, np.searchsorted(hit, ends[:-1]))
+                texts[host] = iter([_text(x, at - end + k, run) for x, at, end, k in zip(made, hits, ends.tolist(), n.tolist(), strict=True)])
+            out = [next(texts[host]) for host in batch.column("_host").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("url"), pa.array(out, pa.string())], names=["_id", "url", "text"])
 
     return run_
 
@@ -412,40 +610,43 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     urls are one host); repeated rows are rows of the result, but one page as evidence. An empty table gives an empty result; extra
     columns, whatever their names, are ignored.
     """
-    bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    bounded_batches(spark)
     kind = pages.schema[page_id].dataType
     rows = pages.select(F.col(page_id).cast("string").alias("_id"), F.col(url).alias("url"), F.col(page).alias("_html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = rows.withColumn("_host", host)
-    # Repeats take words of undecided pages alone, so only the hosts that have any are dealt and counted.
-    seen = rows.select("_host", "_html").mapInArrow(lean(_hosts), "_host string, _n long, _unsure boolean").groupBy("_host").agg(F.sum("_n").alias("_n"), F.max("_unsure").alias("_unsure"))
-    hosts = saved(seen.where("_unsure").select("_host", "_n"), "op7-hosts")
-    n = hosts.count()
-    sizes = F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts
-    sized = rows.join(sizes, "_host", "left") if n else rows.withColumn("_n", F.lit(None).cast("long"))
-    out = sized.where("_n IS NULL").select("_id", "url", "_html").mapInArrow(lean(_sure), "_id string, url string, text string")
-    if n:
-        out = out.unionByName(_unrepeated_texts(sized.where("_n IS NOT NULL"), run, repeats, bundle))
+    rows = saved(rows.mapInArrow(lean(_parse), "_id string, url string, _host string, _blocks string"), "op7-pages")
+    large = rows.groupBy("_host").count().where(F.col("count") > SMALL_HOST).orderBy(F.desc("count")).limit(HOSTS).collect()
+    sizes = {r["_host"]: r["count"] for r in large}
+    rest = large[-1]["count"] if len(large) == HOSTS else SMALL_HOST
+    counts = rows.select("_host", "_blocks").mapInArrow(lean(_count(run, repeats, bundle, sizes, rest)), "_host string, _range int, _lists array<binary>")
+    dealt = counts.repartition(partitions(spark), "_host", "_range").sortWithinPartitions("_host", "_range")
+    found = saved(dealt.mapInArrow(lean(_total(repeats)), "_host string, _range int, _maybe binary, _known binary"), "op7-repeats")
+    bytes_ = found.agg(F.sum(F.length("_maybe") + F.length("_known"))).first()[0] or 0
+    rounds = -(-bytes_ // TOLD) or 1
+    out = None
+    for k in range(rounds):
+        now = F.lit(True) if rounds == 1 else F.pmod(F.xxhash64("_host"), F.lit(rounds)) == k
+        some = rows.where(now)
+        made = some.mapInArrow(lean(_texts(run, _repeated(some, found.where(now), run, repeats, sizes, rest))), "_id string, url string, text string")
+        out = made if out is None else out.unionByName(made)
+    release(found)
     return out.select(F.col("_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def _unrepeated_texts(rows: DataFrame, run: int, repeats: int, bundle: int) -> DataFrame:
-    """_id, url, text of the pages (_id, url, _html, _host and the number _n of its pages) of hosts with undecided pages."""
-    parts = partitions(rows.sparkSession)
-    # Pages of equal words share a bundle, where they are counted once.
-    number = F.pmod(F.xxhash64(F.concat_ws(" ", "_blocks.text")), F.ceil(F.col("_n") / bundle))
-    page = F.sha2(F.concat_ws("\n", F.transform("_blocks", lambda b: F.concat(b["sure"].cast("string"), b["text"]))), 256)
-    parsed = rows.select("_id", "url", "_host", "_n", "_html").mapInArrow(lean(_parse), f"_id string, url string, _host string, _n long, _blocks {BLOCKS}")
-    bundled = saved(parsed.select("_id", "url", "_host", page.alias("_page"), number.alias("_bundle"), (F.col("_n") <= bundle).alias("_whole"), "_blocks"), "op7-pages")
-    # A page with many copies is one row from here on, so that no task gathers them.
-    distinct = saved(bundled.groupBy("_host", "_bundle", "_whole", "_page").agg(F.first("_blocks").alias("_blocks")), "op7-distinct")
-    dealt = distinct.select("_host", "_bundle", "_whole", "_blocks").repartition(parts, "_host", "_bundle").sortWithinPartitions("_host", "_bundle")
-    counts = dealt.mapInArrow(lean(_count(run, repeats)), "_host string, _bundle long, _run string, _pages long")
-    total = F.sum("_pages").over(Window.partitionBy("_host", "_run"))
-    repeated = counts.withColumn("_total", total).where(F.col("_total") >= repeats)
-    pages = distinct.select("_host", "_bundle", F.lit(None).cast("string").alias("_run"), "_page", "_blocks")
-    nothing = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("_page", "_blocks")]
-    both = pages.unionByName(repeated.select("_host", "_bundle", "_run", *nothing))
-    sorted_ = both.repartition(parts, "_host", "_bundle").sortWithinPartitions("_host", "_bundle", F.col("_run").isNull())
-    texts = saved(sorted_.mapInArrow(lean(_clean(run)), "_host string, _page string, text string"), "op7-texts")
-    return bundled.select("_id", "url", "_host", "_page").join(texts, ["_host", "_page"]).select("_id", "url", "text")
+def _repeated(rows: DataFrame, found: DataFrame, run: int, repeats: int, sizes: dict[str, int], rest: int) -> dict[str, list[bytes]]:
+    """By host the packed hashes of its repeated runs."""
+    maybe: dict[str, list[tuple[int, bytes]]] = {}
+    known: dict[str, list[bytes]] = {}
+    for r in found.collect():
+        if r["_maybe"]:
+            maybe.setdefault(r["_host"], []).append((r["_range"], bytes(r["_maybe"])))
+        if r["_known"]:
+            known.setdefault(r["_host"], []).append(bytes(r["_known"]))
+    if maybe:
+        looked = rows.select("_host", "_blocks").mapInArrow(lean(_look(run, sizes, rest, maybe, known)), "_host string, _run long, _page binary")
+        on = looked.groupBy("_host", "_run").agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= repeats)
+        for r in on.select("_host", "_run").mapInArrow(lean(_pack), "_host string, _known binary").collect():
+            known.setdefault(r["_host"], []).append(bytes(r["_known"]))
+    return known
