@@ -34,11 +34,13 @@ def test_a_repeated_article_stays(spark):
     assert texts(spark, rows) == want
 
 
-@pytest.mark.parametrize("told", [1 << 25, 2000])
+@pytest.mark.parametrize("told", [1 << 25, 30])
 @pytest.mark.parametrize("bundle", [1, 7, 4096])
 def test_repeats_of_hosts_against_brute_force(spark, monkeypatch, bundle, told):
     """Undecided pages of few words, with copies, of hosts of 1 to 200 pages; however large the pieces and the rounds."""
     monkeypatch.setattr(pages, "TOLD", told)
+    rounds, repeated = [], pages._repeated
+    monkeypatch.setattr(pages, "_repeated", lambda *a: rounds.append(1) or repeated(*a))
     rng, rows = np.random.default_rng(5), []
     for host, n in enumerate((1, 2, 3, 40, 200)):
         for _ in range(n):
@@ -58,6 +60,7 @@ def test_repeats_of_hosts_against_brute_force(spark, monkeypatch, bundle, told):
         want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
     assert any(len(want[i]) < len(t) for i, _, t in rows)
     assert texts(spark, rows, bundle=bundle) == want
+    assert (len(rounds) > 1) == (told == 30)
 
 
 def test_packed_hashes():
