@@ -16,6 +16,7 @@ per source.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,35 +48,58 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out and planned once, however often it is used: it becomes the variable of a one-element transform."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` slots, taken from `total` slots of which `good` are marked, are marked: inversion from the mode.
 
-    Probabilities are relative to the mode's and run to 12 standard deviations, beyond which doubles hold nothing.
+    Probabilities are relative to the mode's and run to 12 standard deviations, beyond which doubles hold nothing. Each step's
+    values are bound: written out, they would multiply from step to step, and the plan fill the driver's memory.
     """
-    low, high = F.greatest(F.lit(0), drawn + good - total), F.least(drawn, good)
-    mean = drawn * good / F.greatest(total, F.lit(1))
-    reach = F.ceil(F.lit(12.0) * F.sqrt(mean + 1)) + 12
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (good + 1) / (total + 2)))).cast("long")
-    first, last = F.greatest(low, mode - reach).cast("long"), F.least(high, mode + reach).cast("long")
-    none = F.array().cast("array<bigint>")
-    up = F.when(last > mode, F.sequence(mode + 1, last)).otherwise(none)
-    down = F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("long"))).otherwise(none)
-    to = lambda x: (good - x + 1) * (drawn - x + 1) / (x * (total - good - drawn + x))  # noqa: E731  from x - 1 to x
-    back = lambda x: (x + 1) * (total - good - drawn + x + 1) / ((good - x) * (drawn - x))  # noqa: E731  from x + 1 to x
-    one = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"))
-
-    def mass(xs: Column, ratio) -> Column:
-        return F.aggregate(xs, one, lambda s, x: F.struct((s["w"] * ratio(x)).alias("w"), (s["t"] + s["w"] * ratio(x)).alias("t")), lambda s: s["t"])
-
-    def walk(xs: Column, ratio, goal: Column) -> Column:
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"), mode.alias("x"))
-        step = lambda s, x: F.when(s["t"] > goal, s).otherwise(F.struct((s["w"] * ratio(x)).alias("w"), (s["t"] + s["w"] * ratio(x)).alias("t"), x.alias("x")))
-        return F.aggregate(xs, start, step, lambda s: s["x"])
-
-    above, below = mass(up, to), mass(down, back)
-    goal = u * (1 + above + below)
-    picked = F.when(goal <= 1, mode).when(goal <= 1 + above, walk(up, to, goal - 1)).otherwise(walk(down, back, goal - 1 - above))
-    return F.when((good == 0) | (drawn == 0), F.lit(0).cast("long")).when(good == total, drawn).otherwise(picked.cast("long"))
+    given = F.struct(total.alias("total"), good.alias("good"), drawn.alias("drawn"), u.alias("u"))
+
+    def draw(v: Column) -> Column:
+        total, good, drawn, u = (v[name] for name in ("total", "good", "drawn", "u"))
+        low, high = F.greatest(F.lit(0), drawn + good - total), F.least(drawn, good)
+        mean = drawn * good / F.greatest(total, F.lit(1))
+        reach = F.ceil(F.lit(12.0) * F.sqrt(mean + 1)) + 12
+        middle = F.least(high, F.greatest(low, F.floor((drawn + 1) * (good + 1) / (total + 2)))).cast("long")
+        none = F.array().cast("array<bigint>")
+        to = lambda x: (good - x + 1) * (drawn - x + 1) / (x * (total - good - drawn + x))  # noqa: E731  from x - 1 to x
+        back = lambda x: (x + 1) * (total - good - drawn + x + 1) / ((good - x) * (drawn - x))  # noqa: E731  from x + 1 to x
+        one = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"))
+
+        def ways(m: Column) -> Column:
+            mode, reach = m["mode"], m["reach"]
+            first, last = F.greatest(low, mode - reach).cast("long"), F.least(high, mode + reach).cast("long")
+            up = F.when(last > mode, F.sequence(mode + 1, last)).otherwise(none)
+            down = F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("long"))).otherwise(none)
+            return F.struct(mode.alias("mode"), up.alias("up"), down.alias("down"))
+
+        def mass(xs: Column, ratio) -> Column:
+            return F.aggregate(xs, one, lambda s, x: _bound(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["t"] + w).alias("t"))), lambda s: s["t"])
+
+        def walk(xs: Column, ratio, mode: Column, goal: Column) -> Column:
+            start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"), mode.alias("x"))
+            on = lambda s, x: _bound(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["t"] + w).alias("t"), x.alias("x")))
+            return F.aggregate(xs, start, lambda s, x: F.when(s["t"] > goal, s).otherwise(on(s, x)), lambda s: s["x"])
+
+        def picked(m: Column, sums: Column) -> Column:
+            above = sums["above"]
+
+            def at(goal: Column) -> Column:
+                return F.when(goal <= 1, m["mode"]).when(goal <= 1 + above, walk(m["up"], to, m["mode"], goal - 1)).otherwise(walk(m["down"], back, m["mode"], goal - 1 - above))
+
+            return _bound(u * (1 + above + sums["below"]), at)
+
+        sums = lambda m: F.struct(mass(m["up"], to).alias("above"), mass(m["down"], back).alias("below"))
+        drawn_good = _bound(_bound(F.struct(middle.alias("mode"), reach.alias("reach")), ways), lambda m: _bound(sums(m), lambda t: picked(m, t)))
+        return F.when((good == 0) | (drawn == 0), F.lit(0).cast("long")).when(good == total, drawn).otherwise(drawn_good.cast("long"))
+
+    return _bound(given, draw)
 
 
 def _split(quotas: Column, slots: Column, *seed: Column) -> Column:
@@ -85,8 +109,7 @@ def _split(quotas: Column, slots: Column, *seed: Column) -> Column:
 
     def step(s: Column, q: Column) -> Column:
         x = _hypergeometric(s["total"], q, s["left"], unit(*seed, F.size(s["got"])))
-        # bound once by a one-element transform, as the draw is used twice
-        return F.transform(F.array(x), lambda x: F.struct((s["total"] - q).alias("total"), (s["left"] - x).alias("left"), F.concat(s["got"], F.array(x)).alias("got")))[0]
+        return _bound(x, lambda x: F.struct((s["total"] - q).alias("total"), (s["left"] - x).alias("left"), F.concat(s["got"], F.array(x)).alias("got")))
 
     return F.aggregate(quotas, start, step, lambda s: s["got"])
 
@@ -103,6 +126,8 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
         nodes = halved.select(F.explode(children).alias("_c")).select("_c.*")
         if (level + 1) % SPREAD == 0:
             nodes = nodes.repartition(partitions(quotas.sparkSession), "shard")
+            if level + 1 < depth:  # saved, so that no plan holds more than SPREAD levels, however deep the tree
+                nodes = saved(nodes, "op1-nodes")
     return nodes
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from sablelens.llm import mixing
 from sablelens.llm.exact_dedup import exact_duplicates
 from sablelens.llm.mixing import Mix, _hypergeometric, mix, mixed_documents, splitting_tree, taken_words
 from tests.llm.conftest import prose
@@ -85,6 +86,18 @@ def test_splitting_tree_is_exact_and_fair(spark):
     assert all(180 <= x[3] <= 330 for x in leaves)
 
 
+def test_splitting_tree_has_a_small_plan(spark, monkeypatch):
+    """The driver holds the plan: some 7,000 characters a level (40,000 before), and no more levels than SPREAD in one."""
+    root = spark.createDataFrame([([30, 0, 7],)], "quotas array<long>")
+    size = lambda depth: len(splitting_tree(root, depth)._jdf.queryExecution().analyzed().toString())
+    assert size(6) < 80_000
+    monkeypatch.setattr(mixing, "SPREAD", 2)
+    deep = splitting_tree(root, 5)
+    assert len(deep._jdf.queryExecution().analyzed().toString()) < 1.5 * size(1)
+    leaves = [r["quotas"] for r in deep.collect()]
+    assert len(leaves) == 32 and [sum(x) for x in zip(*leaves, strict=True)] == [30, 0, 7]
+
+
 def test_hypergeometric_draws(spark):
     """Against the distribution's mean and variance, and its whole range."""
     df = spark.range(4000).select(_hypergeometric(F.lit(50).cast("long"), F.lit(20).cast("long"), F.lit(10).cast("long"), (F.col("id") + 0.5) / 4000).alias("x"))
