@@ -9,7 +9,7 @@ permutation (wrapping for a second pass), which makes the draws disjoint, and sh
 The last block of a source is drawn in part: its documents in permuted order as far as they fit.
 
 Everything is DataFrame expressions. Tables of documents, of blocks and of the tree's nodes are distributed: nodes are dealt out
-anew every SPREAD levels. Only the table of sources, one row for each, is ordered in a single task, and a node holds one number
+anew, and saved, every SPREAD levels. Only the table of sources, one row for each, is ordered in a single task, and a node holds one number
 per source.
 """
 
