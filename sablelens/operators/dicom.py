@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,17 +20,29 @@ UID_ROOT = "2.25."
 MARKS = (("0012,0062", "CS", "YES"), ("0012,0063", "LO", "Identifiers removed or replaced"))
 
 
+def is_blank() -> Column:
+    """Whether an element is one of the top level to blank, and isn't blank already."""
+    return (F.col("depth") == 0) & F.col("tag").isin(*(t for t, _, _ in T.dicom_blank())) & ~dicom_done(F.col("vr"), F.col("value"))
+
+
+def is_deleted() -> Column:
+    return (F.col("depth") == 0) & F.col("tag").isin(*(t for t, _ in T.dicom_delete()))
+
+
+def is_nested() -> Column:
+    return F.col("depth").between(1, DEEPEST) & F.col("tag").isin(*T.DICOM_NESTED) & ~dicom_done(F.col("vr"), F.col("value"))
+
+
 def blank_findings(elements: DataFrame) -> DataFrame:
-    tags = [t for t, _, _ in T.dicom_blank()]
-    return elements.where((F.col("depth") == 0) & F.col("tag").isin(*tags) & ~dicom_done(F.col("vr"), F.col("value")))
+    return elements.where(is_blank())
 
 
 def delete_findings(elements: DataFrame) -> DataFrame:
-    return elements.where((F.col("depth") == 0) & F.col("tag").isin(*(t for t, _ in T.dicom_delete())))
+    return elements.where(is_deleted())
 
 
 def nested_findings(elements: DataFrame) -> DataFrame:
-    return elements.where(F.col("depth").between(1, DEEPEST) & F.col("tag").isin(*T.DICOM_NESTED) & ~dicom_done(F.col("vr"), F.col("value")))
+    return elements.where(is_nested())
 
 
 def private_counts(elements: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from sablelens.functions import rules as R
 from sablelens.operators import anonymize as A
+from sablelens.operators import durable
 from sablelens.operators import scan as N
 from sablelens.operators.levels import pyramid
 from sablelens.operators.recheck import recheck
@@ -121,3 +123,27 @@ def test_dicom_patches_read_nested_elements_once(spark):
     elements = spark.createDataFrame(rows, ELEMENTS)
     patches = A.dicom_patches(elements, spark.range(1).selectExpr("CAST(id AS STRING) AS path", "9L AS offset").mapInPandas(nested, "path string, offset long, length long, payload binary"))
     assert patches.where("offset = 9").count() == 1 and read.value == 1
+
+
+def test_dicom_parser_looks_its_tables_up_once(monkeypatch):
+    raw = containers._dicom(SimpleNamespace(slide_id=2, done=False, code="AS-24-123456", person="p"))
+    monkeypatch.setattr("sablelens.functions.tables.dicom_blank", lambda: 1 / 0)
+    rows = element_rows("0", raw)
+    assert [(r[3], r[4]) for r in rows if r[3] in ("0008,0020", "0040,0275")] == [("0008,0020", "DA"), ("0040,0275", "SQ")]
+
+
+def test_parts_leave_only_their_results(spark, tmp_path):
+    folder = Path(durable._folder(spark).removeprefix("file:"))
+    durable.stored(spark.range(1))
+    before = set(folder.iterdir())
+    got = durable.in_parts(spark, 3, lambda k: durable.stored(durable.kept(spark.range(k, k + 2))))
+    assert sorted(r.id for r in got.collect()) == [0, 1, 1, 2, 2, 3]
+    assert len(set(folder.iterdir()) - before) == 1
+
+
+def test_container_queries_give_the_same_in_parts(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    made = lambda: sorted(map(tuple, containers.dicom_redacted(spark, sf_dir).collect()))
+    whole = made()
+    monkeypatch.setattr(containers, "FILES_A_PART", 700)
+    assert made() == whole and len(whole) > 9000
