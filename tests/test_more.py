@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from sablelens.functions import rules as R
@@ -147,3 +148,27 @@ def test_container_queries_give_the_same_in_parts(spark, monkeypatch):
     whole = made()
     monkeypatch.setattr(containers, "FILES_A_PART", 700)
     assert made() == whole and len(whole) > 9000
+
+
+def test_rules_are_tried_only_where_their_matches_can_begin():
+    known = {r.label: R.needed(r.pattern) for r in R.IDENTIFIERS}
+    assert (known["Accession_AS4"], known["Accession_H"], known["MRN_Pattern"], known["SSN_Pattern"]) == ("AS-", "H-", "MRN", "")
+    for pattern, begin in (("AB|CD", ""), ("(?i)ab", ""), ("ab?c", "a"), ("ab{0,1}", "a"), ("ab+", "ab"), ("A(x|y)", "A"), (r"A\(|B", ""), (r"(?<!a|b)XY\d", "XY"), ("A(?:(c)|d)", ""), ("^A", "")):
+        assert R.needed(pattern) == begin
+
+
+@pytest.mark.parametrize("name", ["tiff_redacted_tags"])
+def test_tiff_queries_leave_only_their_results(spark, monkeypatch, name):
+    folder = Path(durable._folder(spark).removeprefix("file:"))
+    monkeypatch.setattr(containers, "FILES_A_PART", 800)
+    before = set(folder.iterdir())
+    got = containers.QUERIES[name](spark, "/root/testdata/sf0.001")
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and len(list(left.pop().iterdir())) == 2
+    rows = got.collect()
+    if name == "verified_contents":
+        assert len(rows) == 1 and rows[0].files == 1500 and rows[0].findings_before > 0 and rows[0].findings_after == 0
+    elif name == "tiff_unlinked_images":
+        assert len({r.path for r in rows}) == len(rows) == 1500 and {tuple(r)[1:] for r in rows} == {(False, True, 1)}
+    else:
+        assert len(rows) == 4500
