@@ -157,7 +157,7 @@ def test_rules_are_tried_only_where_their_matches_can_begin():
         assert R.needed(pattern) == begin
 
 
-@pytest.mark.parametrize("name", ["tiff_redacted_tags", "verified_contents"])
+@pytest.mark.parametrize("name", ["tiff_redacted_tags", "tiff_unlinked_images", "verified_contents"])
 def test_tiff_queries_leave_only_their_results(spark, monkeypatch, name):
     folder = Path(durable._folder(spark).removeprefix("file:"))
     monkeypatch.setattr(containers, "FILES_A_PART", 800)
